@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import LOOKALIKES, usual
+from .store import written
 
 _CLASS = {c: group for group in LOOKALIKES for c in group}
 #: A token: a run of Latin, Greek or Cyrillic letters with their accents.
@@ -161,7 +162,7 @@ def same_look_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text", bl
     no pairs among themselves. A group is cut into blocks of `block` keys on one side, so that a large one is spread
     over tasks. Null and blank texts and null keys have no rows; an empty table gives none.
     """
-    keys = look_keys(df, key, text)
+    keys = written(look_keys(df, key, text))
     groups = keys.groupBy("look").agg(F.min("raw").alias("r1"), F.max("raw").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2")
     rows = keys.join(groups.select("look", F.ceil(F.col("n") / block).cast("long").alias("cuts")), "look")
     a = rows.select("look", F.pmod(F.xxhash64("key"), F.col("cuts")).alias("cut"), F.col("key").alias("a"), F.col("raw").alias("raw_a"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import lookalike
+from pyspark.sql import functions as F
+
+from . import lookalike, sentences
 
 
 def _table(spark, base, name):
@@ -19,5 +21,19 @@ def p3_texts(spark, base):
     return lookalike.consistent_text(chunks.select("chunk_id", "text")).select("chunk_id", "form")
 
 
-QUERIES = {"p3_found": p3_found, "p3_texts": p3_texts}
+def _scans(spark, base):
+    """Documents that were scanned from paper."""
+    return _table(spark, base, "doc_catalog").filter("mime = 'image/tiff'").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p5_found(spark, base):
+    chunks = _table(spark, base, "chunks").select("doc_id", "chunk_id", "text")
+    return sentences.sentences(chunks.join(_scans(spark, base), "doc_id", "left_anti"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_texts": p3_texts,
+    "p5_found": p5_found,
+}
 SQL: dict[str, str] = {}
