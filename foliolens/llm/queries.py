@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lookalike, sentences
+from . import lookalike, quality, sentences
 
 
 def _table(spark, base, name):
@@ -31,9 +31,20 @@ def p5_found(spark, base):
     return sentences.sentences(chunks.join(_scans(spark, base), "doc_id", "left_anti"))
 
 
+def p8_found(spark, base):
+    return quality.not_prose(_table(spark, base, "documents"), _table(spark, base, "common_words"))
+
+
+def p8_stats(spark, base):
+    """Statistics of each document's text."""
+    return quality.text_quality(_table(spark, base, "documents"), _table(spark, base, "common_words"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_texts": p3_texts,
     "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 SQL: dict[str, str] = {}
