@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lookalike, quality, sentences
+from . import leakage, lookalike, quality, sentences
+
+#: Most rows of short ids that are broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def _table(spark, base, name):
@@ -26,9 +29,23 @@ def _scans(spark, base):
     return _table(spark, base, "doc_catalog").filter("mime = 'image/tiff'").select(F.col("id").alias("doc_id")).distinct()
 
 
+def _sized(df):
+    """The table with a broadcast hint if it was counted to be small, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def p5_found(spark, base):
     chunks = _table(spark, base, "chunks").select("doc_id", "chunk_id", "text")
-    return sentences.sentences(chunks.join(_scans(spark, base), "doc_id", "left_anti"))
+    return sentences.sentences(chunks.join(_sized(_scans(spark, base)), "doc_id", "left_anti"))
+
+
+def p7_found(spark, base):
+    return leakage.leaks(_table(spark, base, "documents"), _table(spark, base, "eval_items"))
+
+
+def p7_spans(spark, base):
+    """What to remove from each document, in words."""
+    return leakage.removal_spans(_table(spark, base, "documents"), _table(spark, base, "eval_items"))
 
 
 def p8_found(spark, base):
@@ -44,6 +61,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_texts": p3_texts,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
