@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, quality, sentences
+from . import leakage, lookalike, neighbours, quality, sentences
 
 #: Most rows of short ids that are broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -29,6 +29,15 @@ def _scans(spark, base):
     return _table(spark, base, "doc_catalog").filter("mime = 'image/tiff'").select(F.col("id").alias("doc_id")).distinct()
 
 
+def p4_found(spark, base):
+    return neighbours.nearest_pairs(_table(spark, base, "index_vectors"))
+
+
+def p4_nearest(spark, base):
+    """The five most similar chunks of every chunk."""
+    return neighbours.nearest(_table(spark, base, "index_vectors"))
+
+
 def _sized(df):
     """The table with a broadcast hint if it was counted to be small, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -60,6 +69,8 @@ def p8_stats(spark, base):
 QUERIES = {
     "p3_found": p3_found,
     "p3_texts": p3_texts,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
