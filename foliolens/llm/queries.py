@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, neighbours, quality, sentences
+from . import leakage, lookalike, neighbours, quality, scans, sentences
 
 #: Most rows of short ids that are broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -14,6 +14,15 @@ def _table(spark, base, name):
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def p1_found(spark, base):
+    return scans.scan_defects(_table(spark, base, "chunks"), _table(spark, base, "doc_catalog"))
+
+
+def p1_texts(spark, base):
+    """Texts of scanned documents as running paragraphs."""
+    return scans.repaired_texts(_table(spark, base, "chunks"), _table(spark, base, "doc_catalog"))
+
+
 def p3_found(spark, base):
     return lookalike.same_look_pairs(_table(spark, base, "chunks"))
 
@@ -67,6 +76,8 @@ def p8_stats(spark, base):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p3_found": p3_found,
     "p3_texts": p3_texts,
     "p4_found": p4_found,
