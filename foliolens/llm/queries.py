@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, neighbours, quality, scans, sentences
+from . import leakage, lookalike, neighbours, packing, quality, scans, sentences
 
 #: Most rows of short ids that are broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -57,6 +57,16 @@ def p5_found(spark, base):
     return sentences.sentences(chunks.join(_sized(_scans(spark, base)), "doc_id", "left_anti"))
 
 
+def p6_packing(spark, base):
+    """Container and place of every text under every limit."""
+    return packing.pack(_table(spark, base, "documents"), _table(spark, base, "pack_limits"))
+
+
+def p6_fill(spark, base):
+    """How full the containers of each limit are."""
+    return packing.fill(p6_packing(spark, base), _table(spark, base, "pack_limits"))
+
+
 def p7_found(spark, base):
     return leakage.leaks(_table(spark, base, "documents"), _table(spark, base, "eval_items"))
 
@@ -83,6 +93,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p5_found": p5_found,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p8_found": p8_found,
