@@ -147,7 +147,7 @@ def _sizes(index: Index, dim: int):
 _ASSIGNED = "cell int, block int, base boolean, h long, key string, code binary, vec binary"
 
 
-def _assign(index: Index, dim: int, probes: int, blocks: np.ndarray):
+def _assign(index: Index, dim: int, probes: int, ratio: float, blocks: np.ndarray):
     """Each vector once to the block of its cell, and as a query to all other blocks of its nearest cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +163,8 @@ def _assign(index: Index, dim: int, probes: int, blocks: np.ndarray):
             p = min(probes, score.shape[1])
             near = np.argpartition(-score, p - 1, 1)[:, :p]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), 1, kind="stable"), 1)
+            score = np.take_along_axis(score, near, 1)
+            close = score >= ratio * score[:, :1]
             code = _binary(_pack(index.encode(x)))
             vec = _binary(v)
             own = h % blocks[near[:, 0]]
@@ -170,7 +172,7 @@ def _assign(index: Index, dim: int, probes: int, blocks: np.ndarray):
             yield _batch(near[:, 0], own, True, h, b.column("k"), code, vec)
             for j in range(p):
                 for k in range(int(blocks[near[:, j]].max())):
-                    at = (blocks[near[:, j]] > k) & ((own != k) if j == 0 else True)
+                    at = (blocks[near[:, j]] > k) & ((own != k) if j == 0 else close[:, j])
                     if at.any():
                         i = pa.array(np.flatnonzero(at))
                         yield _batch(near[at, j], np.full(at.sum(), k), False, h[at], none.take(i), pa.nulls(int(at.sum()), pa.binary()), vec.take(i))
@@ -232,11 +234,12 @@ def _search(index: Index, dim: int, top: int, rerank: int):
     return run
 
 
-def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 2, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000) -> DataFrame:
+def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000) -> DataFrame:
     """(key, near, similarity, rank): the k most similar other vectors of every vector, by cosine rounded to six decimals; of equally similar ones the smaller key comes first.
 
     The index is fitted on a sample of at most `sample_rows` vectors, chosen by a hash of their keys; every vector is
-    indexed and every vector is a query. A query looks into its `probes` nearest cells, scans their four-bit codes by
+    indexed and every vector is a query. A query looks into its nearest cell and into up to
+    `probes` that are at least `ratio` as similar, scans their four-bit codes by
     table look-ups, and scores the best `rerank` of each exactly in double precision. Cells beyond `block_rows` are cut
     into blocks that are searched apart. Equal vectors are searched once: their keys meet by the vector's hash, of which
     the k + 1 smallest can be anyone's neighbours. Recall is measured in the tests against brute force.
@@ -256,7 +259,7 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
         index = Index(_unit(_matrix(picked.column("v").combine_chunks(), dim)), max(1, min(max_cells, n // cell_rows)))
         sizes = {r.cell: r.n for r in good.mapInArrow(_sizes(index, dim), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row a cell
         blocks = np.array([max(1, -(-sizes.get(c, 0) // block_rows)) for c in range(len(index.centres))])
-        spread = good.mapInArrow(_assign(index, dim, probes, blocks), _ASSIGNED).repartition("cell", "block").sortWithinPartitions("cell", "block")
+        spread = good.mapInArrow(_assign(index, dim, probes, ratio, blocks), _ASSIGNED).repartition("cell", "block").sortWithinPartitions("cell", "block")
         lists = spread.mapInArrow(_search(index, dim, k + 1, rerank), out)
     else:
         lists = df.sparkSession.createDataFrame([], out)
