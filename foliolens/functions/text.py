@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Classes of characters, written so that Java's and RE2's regular expressions both read them.
 FORMAT_CHARS = r"[\x{0600}-\x{0605}\x{061C}\x{06DD}\x{070F}\x{0890}\x{0891}\x{08E2}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
@@ -41,7 +42,7 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(F.trim(clean_page(text)), F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed Unicode form; null stays null."""
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")

@@ -1 +1,375 @@
+"""Queries of the retrieval pipeline, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from foliolens.functions.text import BLANKS, FORMAT_CHARS, clean_text, nfc, sentence_break_sql, sentences, words
+from foliolens.functions.vectors import l2_norm, l2_normalize, usable
+from foliolens.operators import answers, catalog, retrieve
+from foliolens.operators.chunks import chunk_texts
+from foliolens.operators.intervals import coalesced
+from foliolens.operators.pages import hard_split, page_offsets, windows
+from foliolens.sources.tables import distinct_rows, file_extension, resolve_mime, table
+from foliolens.streaming import jobs
+
 QUERIES, SQL = {}, {}
+STEPS = ["QUEUED", "RETRIEVING", "RERANKING", "ANSWERING", "COMPLETED"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, base):
+    return table(spark, base, "documents")
+
+
+def _catalog(spark, base):
+    return distinct_rows(table(spark, base, "doc_catalog"), "id")
+
+
+def _chunks(spark, base):
+    return distinct_rows(table(spark, base, "chunks"), "chunk_id")
+
+
+def _asked(spark, base):
+    """The stated query set: questions with an id divisible by 20 and some text."""
+    q = table(spark, base, "questions").filter("query_id % 20 = 0 and length(trim(text)) > 0")
+    return q.select("query_id", F.col("text").alias("text"))
+
+
+CLEAN = rf"coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\x{{00A0}}]', ' ', 'g'), '\x{{00AD}}', '', 'g'), '{FORMAT_CHARS}', ' ', 'g'), '\p{{Cc}}', '', 'g'), '{BLANKS}', ' ', 'g')), '')"
+WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"SELECT doc_id, {CLEAN} AS clean FROM documents")
+def clean_documents(spark, base):
+    return _docs(spark, base).select("doc_id", clean_text(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT DISTINCT chunk_id, {CLEAN} AS clean FROM chunks")
+def clean_chunks(spark, base):
+    return _chunks(spark, base).select("chunk_id", clean_text(F.col("text")).alias("clean"))
+
+
+@query("SELECT DISTINCT chunk_id, nfc_normalize(text) AS nfc FROM chunks")
+def nfc_chunks(spark, base):
+    return _chunks(spark, base).select("chunk_id", nfc("text").alias("nfc"))
+
+
+@query(r"SELECT DISTINCT id, coalesce(lower(trim(regexp_extract(title, '(\.[^.]*)$', 1))), '') AS ext FROM doc_catalog")
+def file_extensions(spark, base):
+    return _catalog(spark, base).select("id", file_extension(F.col("title")).alias("ext"))
+
+
+@query(r"""
+SELECT DISTINCT id, coalesce(nullif(trim(CASE WHEN status = 'QUEUED' THEN '' ELSE mime END), ''), CASE lower(trim(regexp_extract(blob_path, '(\.[^.]*)$', 1)))
+ WHEN '.pdf' THEN 'application/pdf' WHEN '.txt' THEN 'text/plain' WHEN '.html' THEN 'text/html' WHEN '.tif' THEN 'image/tiff'
+ WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END, 'application/octet-stream') AS mime FROM doc_catalog""")
+def mime_types(spark, base):
+    """Media types where those of queued documents are not stated yet."""
+    stated = F.when(F.col("status") == "QUEUED", "").otherwise(F.col("mime"))
+    return _catalog(spark, base).select("id", resolve_mime(stated, F.col("blob_path")).alias("mime"))
+
+
+@query("SELECT DISTINCT id, title, size_bytes FROM doc_catalog WHERE size_bytes <= 524288000")
+def accepted_uploads(spark, base):
+    return _catalog(spark, base).filter("size_bytes <= 524288000").select("id", "title", "size_bytes")
+
+
+def _lines(spark, base):
+    """Documents with their lines as pages."""
+    return _docs(spark, base).filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page"), "text")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, page, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\r\n\x{{00A0}}]', ' ', 'g'), '\x{{00AD}}', '', 'g'), '{FORMAT_CHARS}', ' ', 'g'), '\p{{Cc}}', '', 'g'), '{BLANKS}', ' ', 'g') AS c FROM l),
+j AS (SELECT doc_id, string_agg(c, '' ORDER BY page) AS whole FROM c GROUP BY doc_id),
+b AS (SELECT doc_id, page, c, last_value(CASE WHEN length(c) > 0 THEN right(c, 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+d AS (SELECT doc_id, page, CASE WHEN left(c, 1) = ' ' AND coalesce(before, ' ') = ' ' THEN substr(c, 2) ELSE c END AS c FROM b),
+m AS (SELECT doc_id, page, c, coalesce(max(length(c)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS more FROM d),
+e AS (SELECT doc_id, page, CASE WHEN more = 0 THEN rtrim(c, ' ') ELSE c END AS c FROM m)
+SELECT doc_id, CAST(page AS INTEGER) AS page, c AS clean, CAST(sum(length(c)) OVER w - length(c) AS BIGINT) AS "start", CAST(sum(length(c)) OVER w AS BIGINT) AS "end"
+FROM e WHERE length(c) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY page)""")
+def page_lineage(spark, base):
+    return page_offsets(_lines(spark, base)).withColumn("page", F.col("page").cast("int"))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, {CLEAN} AS t FROM documents), s AS (SELECT doc_id, {sentence_break_sql('t')} AS s FROM c WHERE length(t) > 0)
+SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS pos, unnest(s) AS sentence FROM s""")
+def sentence_split(spark, base):
+    return _docs(spark, base).select("doc_id", F.posexplode(sentences(clean_text(F.col("text")))).alias("pos", "sentence"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, unnest(range(0, CAST(ceil((length(text) - 2000) / 1800.0) AS INTEGER) + 1)) * 1800 AS s FROM documents WHERE length(text) > 2000)
+SELECT doc_id, CAST(s AS INTEGER) AS "start", substr(text, CAST(s + 1 AS INTEGER), 2000) AS piece FROM d""")
+def hard_split_windows(spark, base):
+    return hard_split(_docs(spark, base), "doc_id")
+
+
+@query()
+def chunk_documents(spark, base):
+    """Chunks of cleaned documents with page spans, lines as pages."""
+    p = page_offsets(_lines(spark, base)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "page", "end", "clean"))).alias("x"))
+    p = p.select("doc_id", F.array_join("x.clean", "").alias("clean"), F.transform("x", lambda y: F.struct(y["page"].cast("int").alias("page"), y["start"].cast("int").alias("start"), y["end"].cast("int").alias("end"))).alias("o"))
+    return chunk_texts(p, "doc_id", "clean", offsets="o")
+
+
+def _vectors(spark, base):
+    return table(spark, base, "embeddings")
+
+
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, round(sqrt(list_inner_product(v, v)), 4) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first FROM v""")
+def normalized_vectors(spark, base):
+    return _vectors(spark, base).select("vec_id", F.round(l2_norm(F.col("embedding")), 4).alias("norm"), F.round(l2_normalize(F.col("embedding"))[0], 4).alias("first"))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT doc_id, chunk_id, embedding FROM index_vectors WHERE chunk_id IS NOT NULL),
+e AS (SELECT chunk_id, unnest(embedding) AS x FROM v), u AS (SELECT chunk_id, count(*) = 64 AND bool_and(x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AND bool_or(x <> 0) AS ok FROM e GROUP BY chunk_id)
+SELECT doc_id, count(*) AS vectors, count(*) FILTER (coalesce(ok, false)) AS usable FROM v LEFT JOIN u USING (chunk_id) GROUP BY doc_id""")
+def vector_check(spark, base):
+    v = distinct_rows(table(spark, base, "index_vectors"), "chunk_id")
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(usable(F.col("embedding"), 64)).alias("usable"))
+
+
+@query("""
+WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings)
+SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 4) AS mean FROM e GROUP BY label, dim""")
+def mean_pool(spark, base):
+    rows = _vectors(spark, base).select("label", F.posexplode("embedding").alias("dim", "x"))
+    return rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+
+
+KNN_SQL = """
+kd AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+ks AS (SELECT q.vec_id AS query_id, d.vec_id, round(1 / (1 + pow(list_distance(q.v, d.v), 2)), 6) AS score FROM kd q, kd d WHERE q.vec_id % 20 = 0),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ks)"""
+
+
+@query(f"WITH {KNN_SQL} SELECT query_id, vec_id, score, rank FROM knn WHERE rank <= 10")
+def knn_topk(spark, base):
+    v = _vectors(spark, base).select("vec_id", "embedding")
+    return retrieve.knn(v.filter("vec_id % 20 = 0"), v, 10)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term""")
+def term_statistics(spark, base):
+    return retrieve.term_stats(retrieve.postings(_docs(spark, base), "doc_id"))
+
+
+def _bm25_sql(dl: str = "dl", ask: str = "SELECT query_id, text FROM questions WHERE query_id % 20 = 0 AND length(trim(text)) > 0") -> str:
+    return f"""
+ask AS ({ask}), p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY ALL),
+n AS (SELECT doc_id, len({WORDS.format('text')}) AS dl FROM documents), w AS (SELECT count(*) AS N, avg(dl) AS avgdl FROM n),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({WORDS.format('text')}) AS term FROM ask) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * {dl} / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN n USING (doc_id), w GROUP BY query_id, doc_id),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+def _hits(spark, base, k, norms="exact"):
+    return retrieve.bm25(_asked(spark, base), _docs(spark, base), k, norms=norms)
+
+
+@query(f"WITH {_bm25_sql()} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_topk(spark, base):
+    return _hits(spark, base, 10).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_bm25_sql('(CASE WHEN dl < 40 THEN dl ELSE 24 + floor((dl - 24) / pow(2.0, length(bin(dl - 24)) - 4)) * pow(2.0, length(bin(dl - 24)) - 4) END)')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_quantized(spark, base):
+    return _hits(spark, base, 10, "quantized").withColumn("score", F.round("score", 4))
+
+
+TITLES = "SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL"
+
+
+@query(f"""
+WITH {_bm25_sql(ask=TITLES)}, {KNN_SQL},
+v AS (SELECT query_id, vec_id AS doc_id, 0.6 * score / max(score) OVER (PARTITION BY query_id) AS score FROM knn WHERE rank <= 20),
+k AS (SELECT query_id, doc_id, 0.4 * score / max(score) OVER (PARTITION BY query_id) AS score FROM bm WHERE rank <= 20),
+u AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u)
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
+def hybrid_topk(spark, base):
+    """Documents like a document: by the vector of it and by its title's words."""
+    docs, v = _docs(spark, base), _vectors(spark, base).select("vec_id", "embedding")
+    titles = docs.filter("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    near = retrieve.knn(v.filter("vec_id % 20 = 0"), v, 20).withColumnRenamed("vec_id", "doc_id")
+    return retrieve.fuse(near, retrieve.bm25(titles, docs, 20), 10).withColumn("score", F.round("score", 4))
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, len({WORDS.format('text')}) AS n FROM documents)
+SELECT doc_id, CAST(s * 430 AS INTEGER) AS "start", CAST(least(480, n - s * 430) AS INTEGER) AS size
+FROM (SELECT doc_id, n, unnest(range(0, greatest(CAST(ceil((n - 480) / 430.0) AS INTEGER) + 1, 1))) AS s FROM n WHERE n > 0)""")
+def rerank_windows(spark, base):
+    rows = _docs(spark, base).select("doc_id", F.size(words(F.col("text"))).alias("n"))
+    rows = rows.select("doc_id", "n", F.explode(windows(F.col("n"), 480, 430)).alias("start"))
+    return rows.select("doc_id", "start", F.least(F.lit(480), F.col("n") - F.col("start")).alias("size"))
+
+
+def _candidates(spark, base, k=100):
+    hits = _hits(spark, base, k).select("query_id", "doc_id", "rank")
+    asked = _asked(spark, base).withColumnRenamed("text", "query_text")
+    docs = _docs(spark, base).select("doc_id", F.col("title"), "text")
+    return hits.join(docs, "doc_id").join(asked, "query_id")
+
+
+@query(f"""
+WITH {_bm25_sql()}, c AS (SELECT bm.query_id, bm.doc_id, list_distinct({WORDS.format('ask.text')}) AS q, {WORDS.format('d.text')} AS w FROM bm JOIN ask USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 100),
+x AS (SELECT query_id, doc_id, q, list_slice(w, CAST(s * 430 + 1 AS INTEGER), CAST(s * 430 + 480 AS INTEGER)) AS part FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((len(w) - 480) / 430.0) AS INTEGER) + 1, 1))) AS s FROM c)),
+b AS (SELECT query_id, doc_id, max(round(2.0 * len(list_intersect(q, part)) / len(q) - 1, 6)) AS score FROM x GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score >= 0)
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 50""")
+def rerank_topk(spark, base):
+    return retrieve.rerank(_candidates(spark, base)).withColumn("score", F.round("score", 4))
+
+
+OK = "query_id IS NOT NULL AND doc_id IS NOT NULL AND from_page >= 1 AND from_page <= to_page"
+
+
+def _merge_sql(keys: str) -> str:
+    return f"""
+v AS (SELECT DISTINCT {keys}, from_page, to_page FROM citation_intervals WHERE {OK}),
+g AS (SELECT *, CASE WHEN max(to_page) OVER (PARTITION BY {keys} ORDER BY from_page, to_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= from_page THEN 0 ELSE 1 END AS fresh FROM v),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY from_page, to_page ROWS UNBOUNDED PRECEDING) AS island FROM g),
+merged AS (SELECT {keys}, min(from_page) AS from_page, max(to_page) AS to_page FROM i GROUP BY {keys}, island)"""
+
+
+def _intervals(spark, base):
+    return table(spark, base, "citation_intervals").filter("query_id is not null and doc_id is not null")
+
+
+@query(f"WITH {_merge_sql('doc_id')} SELECT doc_id, from_page, to_page FROM merged")
+def interval_merge(spark, base):
+    """Pages of each document that anyone cited."""
+    return coalesced(_intervals(spark, base), ["doc_id"])
+
+
+@query(f"""
+WITH {_merge_sql('query_id, doc_id')}, t AS (SELECT DISTINCT id, title FROM doc_catalog)
+SELECT query_id, doc_id, any_value(title) || ' p. ' || string_agg(CASE WHEN from_page = to_page THEN CAST(from_page AS VARCHAR) ELSE from_page || '-' || to_page END, ', ' ORDER BY from_page) AS citation
+FROM merged JOIN t ON t.id = merged.doc_id GROUP BY query_id, doc_id""")
+def citation_render(spark, base):
+    return answers.citations(coalesced(_intervals(spark, base), ["query_id", "doc_id"]), _catalog(spark, base), ["query_id", "doc_id"])
+
+
+@query(f"""
+WITH f AS (SELECT query_id, doc_id, min(cited_at) AS first FROM citation_intervals WHERE {OK} GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS place FROM f""")
+def citation_order(spark, base):
+    """Cited documents of each question in the order in which they first came."""
+    first = _intervals(spark, base).filter("from_page >= 1 and from_page <= to_page").groupBy("query_id", "doc_id").agg(F.min("cited_at").alias("first"))
+    return first.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "doc_id")).alias("place"))
+
+
+@query(f"""
+WITH {_bm25_sql()}, c AS (SELECT query_id, rank, text FROM bm JOIN (SELECT doc_id, {CLEAN} AS text FROM documents) USING (doc_id) WHERE rank <= 5)
+SELECT query_id, 'CONTEXT:' || chr(10) || string_agg('- ' || c.text || chr(10), '' ORDER BY rank) || chr(10) || 'QUESTION: ' || any_value(ask.text) AS context FROM c JOIN ask USING (query_id) GROUP BY query_id""")
+def context_assembly(spark, base):
+    rows = _candidates(spark, base, 5).withColumn("text", clean_text(F.col("text")))
+    return answers.context(rows)
+
+
+FIRST = r"split_part(regexp_replace(arg_min(text, rank), '([.!?])\s', '\1' || chr(31)), chr(31), 1)"
+
+
+def _esc(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(rf"""
+WITH {_bm25_sql()}, c AS (SELECT query_id, rank, coalesce(title, 'untitled') AS title, {CLEAN} AS text FROM bm JOIN documents USING (doc_id) WHERE rank <= 3),
+a AS (SELECT query_id, '<p>' || {_esc(FIRST)} || '</p><h4>Sources</h4><ul>' || string_agg('<li>' || {_esc('title')} || '</li>', '' ORDER BY rank) || '</ul>' AS html FROM c GROUP BY query_id)
+SELECT query_id, coalesce(html, '<p>{answers.NOTHING}</p>') AS answer FROM ask LEFT JOIN a USING (query_id)""")
+def answer_html(spark, base):
+    rows = _candidates(spark, base, 3).withColumn("text", clean_text(F.col("text"))).withColumn("title", F.coalesce("title", F.lit("untitled")))
+    return answers.html_answer(_asked(spark, base), rows.select("query_id", "rank", "text", "title"))
+
+
+CAT = "SELECT DISTINCT id, title, mime, size_bytes, chunks, status FROM doc_catalog"
+
+
+@query(f"WITH c AS ({CAT}) SELECT * FROM c")
+def catalog_list(spark, base):
+    return _catalog(spark, base).select("id", "title", "mime", "size_bytes", "chunks", "status")
+
+
+@query(f"""
+WITH c AS ({CAT}), n AS (SELECT doc_id, count(DISTINCT chunk_id) AS k FROM chunks GROUP BY doc_id)
+SELECT id, title, mime, size_bytes, CAST(coalesce(k, 0) AS INTEGER) AS chunks, CASE WHEN k > 0 THEN 'INDEXED' ELSE status END AS status FROM c LEFT JOIN n ON n.doc_id = c.id""")
+def catalog_update(spark, base):
+    """Catalog with the true chunk counts; documents with chunks are indexed."""
+    n = _chunks(spark, base).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    rows = _catalog(spark, base).join(n, "id", "left")
+    return rows.select("id", "title", "mime", "size_bytes", F.coalesce("k", F.lit(0)).cast("int").alias("chunks"), F.when(F.col("k") > 0, "INDEXED").otherwise(F.col("status")).alias("status"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT chunk_id, doc_id, from_page, to_page FROM index_vectors WHERE chunk_id IS NOT NULL), bad AS (SELECT id FROM doc_catalog WHERE status = 'FAILED' OR last_indexed_at IS NULL)
+SELECT chunk_id, doc_id, from_page, to_page FROM c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM bad WHERE id IS NOT NULL)""")
+def index_delete(spark, base):
+    """Index without the rows of documents that failed or were never indexed."""
+    index = distinct_rows(table(spark, base, "index_vectors"), "chunk_id").select("chunk_id", "doc_id", "from_page", "to_page")
+    bad = _catalog(spark, base).filter("status = 'FAILED' or last_indexed_at is null").select(F.col("id").alias("doc_id"))
+    return catalog.delete(index, bad, "doc_id")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT chunk_id, doc_id, from_page, to_page FROM index_vectors WHERE chunk_id IS NOT NULL),
+n AS (SELECT DISTINCT chunk_id, doc_id, page_start AS from_page, page_end AS to_page FROM chunks WHERE chunk_id IS NOT NULL AND doc_id IN (SELECT id FROM doc_catalog WHERE mime = 'text/html'))
+SELECT * FROM c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""")
+def index_upsert(spark, base):
+    """Index in which all chunks of the HTML documents are replaced by the present ones."""
+    index = distinct_rows(table(spark, base, "index_vectors"), "chunk_id").select("chunk_id", "doc_id", "from_page", "to_page")
+    html = _catalog(spark, base).filter("mime = 'text/html'").select(F.col("id").alias("doc_id"))
+    new = _chunks(spark, base).join(html, "doc_id", "left_semi").select("chunk_id", "doc_id", F.col("page_start").alias("from_page"), F.col("page_end").alias("to_page"))
+    return catalog.upsert(index, new, "doc_id")
+
+
+ONE = "one AS (SELECT job_id, seq, arg_max(status, loaded_at) AS status, arg_max(answer, loaded_at) AS answer FROM job_events WHERE job_id IS NOT NULL AND seq IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {ONE} SELECT job_id, arg_max(status, seq) AS status, arg_max(answer, seq) FILTER (answer IS NOT NULL) AS answer, count(*) AS steps FROM one GROUP BY job_id")
+def job_states(spark, base):
+    return catalog.latest_states(table(spark, base, "job_events"))
+
+
+@query(f"""
+WITH {ONE}, b AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS before FROM one)
+SELECT job_id, seq, status, before FROM b WHERE before IS NOT NULL AND status <> 'FAILED' AND
+ coalesce(list_position({STEPS}, status), 0) <> coalesce(list_position({STEPS}, before), 0) + 1""")
+def job_jumps(spark, base):
+    return catalog.illegal_steps(table(spark, base, "job_events"), STEPS)
+
+
+@query("""
+WITH e AS (SELECT doc_id, count(DISTINCT chunk_id) AS total FROM chunks WHERE chunk_id IS NOT NULL GROUP BY doc_id), d AS (SELECT doc_id, count(DISTINCT chunk_id) AS done FROM index_vectors GROUP BY doc_id)
+SELECT doc_id, total, coalesce(done, 0) AS done, CAST(least(greatest(floor(100.0 * coalesce(done, 0) / total), 0), 100) AS INTEGER) AS percent FROM e LEFT JOIN d USING (doc_id)""")
+def index_progress(spark, base):
+    total = _chunks(spark, base).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    return catalog.progress(total, distinct_rows(table(spark, base, "index_vectors"), "chunk_id"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, status, count(*) AS events FROM job_events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_job_counts(spark, base):
+    """Daily counts of job events, as a stream that runs to its end."""
+    return jobs.run_to_end(jobs.daily_counts(jobs.event_stream(spark, f"{base}/job_events.parquet")))
