@@ -61,7 +61,8 @@ class FMIndex:
         key = np.zeros(n, np.int64)
         for k in range(span):
             key <<= width
-            key[: n - k] |= text[k:] if k else text
+            if k < n:
+                key[: n - k] |= text[k:]
         order = np.argsort(key, kind="stable")
         change = np.empty(n, bool)
         change[0] = True

@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ _NUMBER = re.compile(rf"^(?:[-–—·\[(|]|p\.|pp\.|s\.|pág\.|page|seite|pági
 _PARTS = re.compile(r"\s{2,}|\s[|–—]\s")
 _MINOR = re.compile(rf"^(?:vol|rev|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|{_ROMAN})$", re.IGNORECASE)
 _HEADING = re.compile(r"^\d+(?:\.\d+)+\.?\s|^(?:fig|figure|table|tab|abb|abbildung|tabelle|figura|tabla|tableau)\b", re.IGNORECASE)
+_LONG = re.compile(r"[^\W\d_][\w’'@!]*")
 _SENTENCE = re.compile(r"[.!?…:;,][\"”»“’)]*\s*$")
 _FOLD = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("in", "m")]
 _SAME = str.maketrans("015689@!$|cfhlq", "oisbbgaisietbig")
@@ -75,15 +78,18 @@ def _lines(text: str, title: str, first: int | None, last: int | None) -> list[t
             if m[2] or not known or first - 3 <= int(m[1]) <= last + 3:
                 out.append(("number", line, "", True))
                 continue
-        core, number = _core(s)
-        key = fold(core) if len(core) <= 90 else ""
-        if key and title and len(title) >= 5 and key == title and not _HEADING.match(s):
-            out.append(("title", line, key, number))
-            continue
-        words = [w for w in re.findall(r"[^\W\d_][\w’'@!]*", core) if len(w) > 3]
-        if len(key) >= 6 and len(words) >= 2 and len(s) <= 80 and not _SENTENCE.search(s) and not _HEADING.match(s) and sum(w[0].isupper() for w in words) >= 0.8 * len(words) and core[0].isupper():
-            out.append(("open", line, key, number))
-            continue
+        if len(s) <= 95 and not _SENTENCE.search(s) and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()) and not _HEADING.match(s):
+            core, number = _core(s)
+            words = [w for w in _LONG.findall(core) if len(w) > 3]
+            capital = len(words) >= 2 and sum(w[0].isupper() for w in words) >= 0.8 * len(words) and core[0].isupper()
+            if capital or abs(len(core) - len(title)) <= 24:
+                key = fold(core)
+                if len(title) >= 5 and key == title:
+                    out.append(("title", line, key, number))
+                    continue
+                if capital and len(key) >= 6 and len(s) <= 80:
+                    out.append(("open", line, key, number))
+                    continue
         out.append(("text", line, "", False))
     return out
 
@@ -138,23 +144,36 @@ def candidates(word: str) -> dict[str, float]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, compounds and neighbouring words of a batch: (a, b, clean, n); b is null for words alone."""
+    """Words, compounds and neighbouring words of a batch: (a, b, clean, n); b is null for words alone. Pairs are counted in clean texts."""
     for b in batches:
-        words: list[Counter] = [Counter(), Counter()]
-        pairs: Counter = Counter()
+        number: dict[str, int] = {}
+        clean: list[int] = []
+        seen: Counter = Counter()
+        compounds: Counter = Counter()
+        add = number.setdefault
         for text, scan in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
-            own = _WORD.findall(text.lower())
-            words[scan].update(own)
-            if not scan:
-                pairs.update(zip(own, own[1:]))
+            text = text.lower()
+            if scan:
+                seen.update(_NOISY.findall(text))
+                continue
+            clean += [add(w, len(number)) for w in _WORD.findall(text)]
+            clean.append(-1)
             if "-" in text or "‐" in text:
-                words[scan].update(w.replace("‐", "-") for w in _COMPOUND.findall(text.lower()))
-        rows = [(w, None, n if not s else 0, n) for s in (0, 1) for w, n in words[s].items() if len(w) <= 40]
-        rows += [(x, y, n, n) for (x, y), n in pairs.items() if len(x) <= 40 and len(y) <= 40]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["a", "b", "clean", "n"])
+                compounds.update(w.replace("‐", "-") for w in _COMPOUND.findall(text))
+        ids = np.array(clean, np.int64)
+        names = np.array(list(number), object)
+        count = np.bincount(ids[ids >= 0], minlength=len(names)) if len(ids) else np.zeros(0, np.int64)
+        pairs = ids[:-1] << 32 | ids[1:]
+        pairs, many = np.unique(pairs[(ids[:-1] >= 0) & (ids[1:] >= 0)], return_counts=True) if len(ids) else (ids, ids)
+        extra = [*compounds.items()]
+        noisy = [(w, n) for w, n in seen.items() if len(w) <= 40]
+        first = [*names.tolist(), *(w for w, _ in extra), *(w for w, _ in noisy), *names[pairs >> 32].tolist()]
+        second = [None] * (len(names) + len(extra) + len(noisy)) + names[pairs & 0xFFFFFFFF].tolist()
+        own = [*count.tolist(), *(n for _, n in extra), *([0] * len(noisy)), *many.tolist()]
+        whole = [*count.tolist(), *(n for _, n in extra), *(n for _, n in noisy), *many.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(own, pa.int64()), pa.array(whole, pa.int64())], ["a", "b", "clean", "n"])
 
 
 def _open_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +194,45 @@ def _parsed(text, title, first, last, series):
     return kinds, lines, [(n, lines[n][1]) for n, k in enumerate(kinds) if k == "text"]
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of frame lines, words with their neighbours, and words cut at line ends."""
-    names = ["what", "id", "line", "pos", "word", "prev", "next", "first", "second", "mark"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
-    for b in batches:
-        rows = []
-        for i, _, text, title, first, last, series in zip(*(b.column(k).to_pylist() for k in range(7))):
-            marks, lines, body = _parsed(text, title, first, last, set(series or ()))
-            if "header" in marks:
-                rows.append(("header", i, *[None] * 8))
-            if any(lines[n][3] and k in ("header", "number") for n, k in enumerate(marks)):
-                rows.append(("page_number", i, *[None] * 8))
-            words, cuts = _tokens(body)
-            plain = [w for *_, w in words]
-            for n, (line, start, _, w) in enumerate(words):
-                if len(w) > 2 and len(w) <= 40:
-                    rows.append(("word", i, line, start, w, plain[n - 1] if n else "", plain[n + 1] if n + 1 < len(plain) else "", None, None, None))
-            for line, x, y, mark in cuts:
-                rows.append(("cut", i, line, None, (x + y).lower(), None, None, x.lower(), y.lower(), mark))
-        cols = list(zip(*rows)) if rows else [[]] * 10
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
+#: Places of the table of words that may be misread; its size is fixed, words that share a place are parted by the join.
+SLOTS = 1 << 20
+
+
+def _scan(slots: np.ndarray):
+    """Rows of frame lines, of words that may be misread with their neighbours, and of words cut at line ends."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["what", "id", "line", "pos", "word", "prev", "next", "first", "second", "mark"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
+        memo: dict[str, bool] = {}
+
+        def odd(w: str) -> bool:
+            hit = memo.get(w)
+            if hit is None:
+                if len(memo) > 300_000:
+                    memo.clear()
+                hit = memo[w] = bool(slots[xxhash.xxh64_intdigest(w.encode(), 42) % SLOTS])
+            return hit
+
+        for b in batches:
+            rows = []
+            for i, _, text, title, first, last, series in zip(*(b.column(k).to_pylist() for k in range(7))):
+                marks, lines, body = _parsed(text, title, first, last, set(series or ()))
+                if "header" in marks:
+                    rows.append(("header", i, *[None] * 8))
+                if any(lines[n][3] and k in ("header", "number") for n, k in enumerate(marks)):
+                    rows.append(("page_number", i, *[None] * 8))
+                words, cuts = _tokens(body)
+                whole = {(line, (x + y).lower()) for line, x, y, _ in cuts}
+                for n, (line, start, _, w) in enumerate(words):
+                    if 2 < len(w) <= 40 and (odd(w) or (line, w) in whole):
+                        rows.append(("word", i, line, start, w, words[n - 1][3] if n else "", words[n + 1][3] if n + 1 < len(words) else "", None, None, None))
+                for line, x, y, mark in cuts:
+                    rows.append(("cut", i, line, None, (x + y).lower(), None, None, x.lower(), y.lower(), mark))
+            cols = list(zip(*rows)) if rows else [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
+
+    return run
 
 
 def _guess(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +264,7 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, line, found in zip(*(b.column(k).to_pylist() for k in range(3))):
             by: dict[int, dict] = {}
             for x in found:
-                slot = by.setdefault(x["pos"], {"word": x["word"], "next": x["next"], "c": {x["word"]: (math.log(x["self"] + 0.02) - 0.05, 0.0, 0.0)}})
+                slot = by.setdefault(x["pos"], {"word": x["word"], "next": x["next"], "c": {x["word"]: (math.log(x["self"] + (5e-4 if x["word"].isalpha() else 1e-6)), 0.0, 0.0)}})
                 slot["c"][x["cand"]] = (math.log(x["n"]) + x["channel"], math.log1p(x["left"]), math.log1p(x["right"]))
             order = sorted(by)
             best = viterbi([(p, by[p]["next"], by[p]["c"]) for p in order])
@@ -254,13 +291,20 @@ class Repair:
         series = series.filter((F.col("k") >= 2) | (F.col("docs") >= series_docs)).select("key")
         headers = lines.join(series, "key").groupBy("id").agg(F.collect_set("line").alias("series"))
         self.texts = own.join(headers, "id", "left")
-        self.rows = written(self.texts.select("id", "doc", "text", "title", "page_start", "page_end", "series").mapInArrow(_scan, "what string, id string, line int, pos int, word string, prev string, next string, first string, second string, mark string"))
         # words that the clean texts do not have, what they may be, and what of that the corpus knows
-        types = self.rows.filter("word is not null").select("word").distinct()
-        known = words.withColumnRenamed("cand", "word").select("word", F.col("clean").alias("self"))
-        strange = types.join(known, "word", "left").filter(F.coalesce("self", F.lit(0)) < least).select("word", F.coalesce("self", F.lit(0)).alias("self"))
-        guesses = strange.select("word").mapInArrow(_guess, "word string, cand string, channel double")
-        fixes = guesses.join(words, "cand").filter(F.col("clean") >= least).join(strange, "word").select("word", "cand", "channel", "self", F.col("clean").alias("n"))
+        known = words.select(F.col("cand").alias("word"), F.col("clean").alias("self"))
+
+        def fixes(strange):
+            guesses = strange.select("word").mapInArrow(_guess, "word string, cand string, channel double")
+            return guesses.join(words, "cand").filter(F.col("clean") >= least).join(strange, "word").select("word", "cand", "channel", "self", F.col("clean").alias("n"))
+
+        single = written(fixes(known.filter(F.col("self") < least)))
+        slots = np.zeros(SLOTS, bool)
+        slots[[r.s for r in single.select(F.expr(f"pmod(xxhash64(word), {SLOTS})").alias("s")).distinct().collect()]] = True  # at most SLOTS numbers
+        self.rows = written(self.texts.select("id", "doc", "text", "title", "page_start", "page_end", "series").mapInArrow(_scan(slots), "what string, id string, line int, pos int, word string, prev string, next string, first string, second string, mark string"))
+        glued = self.rows.filter("what = 'cut'").select("word").distinct().join(single.select("word").distinct(), "word", "left_anti")
+        glued = glued.join(known, "word", "left").fillna(0, ["self"]).filter(F.col("self") < least)
+        fixes = single.unionByName(fixes(glued))
         seen = self.rows.filter("what = 'word'").join(fixes, "word").select("id", "line", "pos", "word", "prev", "next", "cand", "channel", "self", "n")
         left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("cand"), F.col("n").alias("left"))
         right = pairs.select(F.col("a").alias("cand"), F.col("b").alias("next"), F.col("n").alias("right"))
@@ -301,26 +345,27 @@ def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds, _, body = _parsed(text, title, first, last, set(series or ()))
             words, cuts = _tokens(body)
             right = {(x["line"], x["pos"]): x["right"] for x in wrong or ()}
-            joined = {line: (x, y) for line, x, y, _ in cuts if line in set(cut or ())}
+            ends = {line: x for line, x, _, _ in cuts}
+            real = set(cut or ())
             out: list[str] = []
-            skip = 0
+            skip, glue = 0, False
             for n, (line, raw) in enumerate(body):
-                s, shift = raw, 0
-                for at, start, end, w in words:
-                    if at == line and (at, start) in right and end < len(raw) or at == line and (at, start) in right and line not in {c[0] for c in cuts}:
-                        new = _cased(right[at, start], raw[start:end])
-                        s = s[: start + shift] + new + s[end + shift :]
-                        shift += len(new) - (end - start)
-                s = s[max(0, skip + (shift if skip else 0)) :] if skip and not shift else s[skip:] if skip else s
-                skip = 0
-                s = s.strip()
-                if line in joined:
-                    x, y = joined[line]
-                    m = _EDGE.search(raw)
-                    whole = right.get((line, m.start(1)), (x + y).lower()) if m else (x + y)
-                    s = s[: len(s) - len(x) - 1].rstrip() + (" " if s[: len(s) - len(x) - 1].endswith(" ") else "") + (_cased(whole, x) if (line, m.start(1) if m else -1) in right else x + y)
+                m = _EDGE.search(raw) if line in ends else None
+                stop = m.start(1) if m and line in real else len(raw)
+                s = raw[:stop]
+                for at, start, end, _ in reversed([w for w in words if w[0] == line and w[2] <= stop and (w[0], w[1]) in right]):
+                    s = s[:start] + _cased(right[at, start], raw[start:end]) + s[end:]
+                s = s[skip:] if not skip or (line, 0) not in right else s[len(s) - (stop - skip) :]
+                skip, joins = 0, glue
+                glue = bool(m) and line not in real
+                if m and line in real:
                     h = _HEAD.match(body[n + 1][1])
-                    skip = h.end(1) if h else 0
+                    skip = h.end(1)
+                    s += _cased(right[line, stop], m[1]) if (line, stop) in right else m[1] + h[1]
+                s = s.strip()
+                if joins and s:
+                    out.append(s)
+                    continue
                 if n and line > body[n - 1][0] + 1 and "blank" in kinds[body[n - 1][0] : line] and out and re.search(r"[.!?…][\"”»“’)]*$", out[-1]):
                     out.append("\n\n" + s)
                 elif out and s and (s[0] in ".,;:!?)”»" or out[-1].endswith("\n")):
