@@ -35,12 +35,13 @@ _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
 _ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _NUMBER = re.compile(rf"^(?:[-–—·\[(|]|p\.|pp\.|s\.|pág\.|page|seite|página|стр\.)?\s*(?:(\d{{1,5}})(?:\s*(?:of|de|von|sur|/)\s*\d{{1,5}})?|({_ROMAN}))\s*[-–—·\])|]?$", re.IGNORECASE)
 _PARTS = re.compile(r"\s{2,}|\s[|–—]\s")
-_MINOR = re.compile(rf"^(?:vol|rev|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|{_ROMAN})$", re.IGNORECASE)
+_MINOR = re.compile(rf"^(?:v[o0][l1i!|]|r[ec][vu]|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|{_ROMAN})$", re.IGNORECASE)
 _HEADING = re.compile(r"^\d+(?:\.\d+)+\.?\s|^(?:fig|figure|table|tab|abb|abbildung|tabelle|figura|tabla|tableau)\b", re.IGNORECASE)
 _LONG = re.compile(r"[^\W\d_][\w’'@!]*")
+_MARKS = re.compile(r"[.,;:!?„“”\"«»]|[-‐¬­]$")
 _SENTENCE = re.compile(r"[.!?…:;,][\"”»“’)]*\s*$")
 _FOLD = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("in", "m")]
-_SAME = str.maketrans("015689@!$|cfhlq", "oisbbgaisietbig")
+_SAME = str.maketrans("015689@!$|cefhlq", "oisbbgaisitttbig")
 
 
 def fold(text: str) -> str:
@@ -81,7 +82,7 @@ def _lines(text: str, title: str, first: int | None, last: int | None) -> list[t
         if len(s) <= 95 and not _SENTENCE.search(s) and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()) and not _HEADING.match(s):
             core, number = _core(s)
             words = [w for w in _LONG.findall(core) if len(w) > 3]
-            capital = len(words) >= 2 and sum(w[0].isupper() for w in words) >= 0.8 * len(words) and core[0].isupper()
+            capital = len(words) >= 2 and not _MARKS.search(core) and sum(w[0].isupper() for w in words) >= 0.8 * len(words) and core[0].isupper()
             if capital or abs(len(core) - len(title)) <= 24:
                 key = fold(core)
                 if len(title) >= 5 and key == title:
