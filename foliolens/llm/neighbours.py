@@ -234,20 +234,8 @@ def _search(index: Index, dim: int, top: int, rerank: int):
     return run
 
 
-def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000) -> DataFrame:
-    """(key, near, similarity, rank): the k most similar other vectors of every vector, by cosine rounded to six decimals; of equally similar ones the smaller key comes first.
-
-    The index is fitted on a sample of at most `sample_rows` vectors, chosen by a hash of their keys; every vector is
-    indexed and every vector is a query. A query looks into its nearest cell and into up to
-    `probes` that are at least `ratio` as similar, scans their four-bit codes by
-    table look-ups, and scores the best `rerank` of each exactly in double precision. Cells beyond `block_rows` are cut
-    into blocks that are searched apart. Equal vectors are searched once: their keys meet by the vector's hash, of which
-    the k + 1 smallest can be anyone's neighbours. Recall is measured in the tests against brute force.
-
-    Vectors count that have `dim` finite numbers, not all zero; null, short, long and other vectors and null keys have
-    no rows. Each key counts once. Other columns are ignored. Fewer than k other vectors give fewer rows, an empty table
-    none.
-    """
+def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000) -> DataFrame:
+    """Numbered keys (i, k, h), numbers in the order of keys, and (i, best): each key's nearest as (similarity, number)."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = df.filter(F.col(key).isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0)).select(F.col(key).cast("string").alias("k"), v.cast("array<float>").alias("v")).withColumn("h", F.xxhash64("v"))
@@ -263,21 +251,42 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
         lists = spread.mapInArrow(_search(index, dim, k + 1, rerank), out)
     else:
         lists = df.sparkSession.createDataFrame([], out)
-    members = written(good.select("h", "k").dropDuplicates(["k"]))
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("k"))).filter(F.col("r") <= k + 1)
-    first = first.groupBy("h").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    copies = first.filter(F.size("ks") > 1).select("h", F.col("h").alias("n"), F.lit(1_000_000).alias("s"))
+    members = written(good.select("h", "k").dropDuplicates(["k"]).sort("k").withColumn("i", F.monotonically_increasing_id()))
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("i"))).filter(F.col("r") <= k + 1)
+    first = first.groupBy("h").agg(F.sort_array(F.collect_list("i")).alias("ids"))
+    copies = first.filter(F.size("ids") > 1).select("h", F.col("h").alias("n"), F.lit(1_000_000).alias("s"))
     hits = lists.groupBy("h").agg(F.flatten(F.collect_list(F.arrays_zip("n", "s"))).alias("x"))
     floor = F.element_at(F.sort_array(F.col("x.s"), False), F.least(F.size("x"), F.lit(k + 1)))
     hits = hits.filter(F.size("x") > 0).select("h", F.explode(F.filter("x", lambda y: y["s"] >= floor)).alias("y")).select("h", F.col("y.n").alias("n"), F.col("y.s").alias("s"))
     found = hits.unionByName(copies).join(first.withColumnRenamed("h", "n"), "n").groupBy("h").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ks", lambda y: F.struct((-F.col("s")).alias("s"), y.alias("k")))))), 1, k + 1).alias("best")
+        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda y: F.struct((-F.col("s")).alias("s"), y.alias("i")))))), 1, k + 1).alias("best")
     )
-    own = members.join(found, "h").select("k", F.slice(F.filter("best", lambda y: y["k"] != F.col("k")), 1, k).alias("best"))
-    return own.select(F.col("k").alias(key), F.posexplode("best").alias("rank", "b")).select(key, F.col("b.k").alias("near"), (-F.col("b.s") / 1e6).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    return members, members.select("i", "h").join(found, "h").select("i", F.slice(F.filter("best", lambda y: y["i"] != F.col("i")), 1, k).alias("best"))
+
+
+def nearest(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
+    """(key, near, similarity, rank): the k most similar other vectors of every vector, by cosine rounded to six decimals; of equally similar ones the smaller key comes first.
+
+    The index is fitted on a sample of at most `sample_rows` (40,000) vectors, chosen by a hash of their keys; every vector is
+    indexed and every vector is a query. A query looks into its nearest cell and into up to
+    `probes` that are at least `ratio` as similar, scans their four-bit codes by
+    table look-ups, and scores the best `rerank` of each exactly in double precision. Cells beyond `block_rows` are cut
+    into blocks that are searched apart. Equal vectors are searched once: their keys meet by the vector's hash, of which
+    the k + 1 smallest can be anyone's neighbours. Recall is measured in the tests against brute force.
+
+    Vectors count that have `dim` finite numbers, not all zero; null, short, long and other vectors and null keys have
+    no rows. Each key counts once. Other columns are ignored. Fewer than k other vectors give fewer rows, an empty table
+    none.
+    """
+    members, own = _nearest(df, key, **options)
+    rows = own.select("i", F.posexplode("best").alias("rank", "b")).select("i", F.col("b.i").alias("j"), F.col("b.s").alias("s"), "rank")
+    rows = rows.join(members.select("i", F.col("k").alias(key)), "i").join(members.select(F.col("i").alias("j"), F.col("k").alias("near")), "j")
+    return rows.select(key, "near", (-F.col("s") / 1e6).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
 def nearest_pairs(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
     """(key_a, key_b), smaller first: at least one is among the other's most similar. As nearest."""
-    rows = nearest(df, key, **options)
-    return rows.select(F.least(key, "near").alias(f"{key}_a"), F.greatest(key, "near").alias(f"{key}_b")).distinct()
+    members, own = _nearest(df, key, **options)
+    rows = own.select("i", F.explode("best.i").alias("j")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    rows = rows.join(members.select(F.col("i").alias("a"), F.col("k").alias(f"{key}_a")), "a")
+    return rows.join(members.select(F.col("i").alias("b"), F.col("k").alias(f"{key}_b")), "b").select(f"{key}_a", f"{key}_b")
