@@ -38,7 +38,7 @@ _PARTS = re.compile(r"\s{2,}|\s[|–—]\s")
 _MINOR = re.compile(rf"^(?:v[o0][l1i!|]|r[ec][vu]|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|{_ROMAN})$", re.IGNORECASE)
 _HEADING = re.compile(r"^\d+(?:\.\d+)+\.?\s|^(?:fig|figure|table|tab|abb|abbildung|tabelle|figura|tabla|tableau)\b", re.IGNORECASE)
 _LONG = re.compile(r"[^\W\d_][\w’'@!]*")
-_MARKS = re.compile(r"[.,;:!?„“”\"«»]|[-‐¬­]$")
+_MARKS = re.compile(r"[.,;:?„“”\"«»]|!(?!\w)|[-‐¬­]$")
 _SENTENCE = re.compile(r"[.!?…:;,][\"”»“’)]*\s*$")
 _FOLD = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("in", "m")]
 _SAME = str.maketrans("015689@!$|cefhlq", "oisbbgaisitttbig")
