@@ -35,7 +35,7 @@ _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
 _ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _NUMBER = re.compile(rf"^(?:[-–—·\[(|]|p\.|pp\.|s\.|pág\.|page|seite|página|стр\.)?\s*(?:(\d{{1,5}})(?:\s*(?:of|de|von|sur|/)\s*\d{{1,5}})?|({_ROMAN}))\s*[-–—·\])|]?$", re.IGNORECASE)
 _PARTS = re.compile(r"\s{2,}|\s[|–—]\s")
-_MINOR = re.compile(rf"^(?:v[o0][l1i!|]|r[ec][vu]|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|{_ROMAN})$", re.IGNORECASE)
+_MINOR = re.compile(rf"^(?:v[o0][l1i!|]|r[ec][vu]|no|nr|bd|t|tome|band|ed|issue)\.?\s*(?:\d+|[ivxlc1!|]{{1,7}})$", re.IGNORECASE)
 _HEADING = re.compile(r"^\d+(?:\.\d+)+\.?\s|^(?:fig|figure|table|tab|abb|abbildung|tabelle|figura|tabla|tableau)\b", re.IGNORECASE)
 _LONG = re.compile(r"[^\W\d_][\w’'@!]*")
 _MARKS = re.compile(r"[.,;:?„“”\"«»]|!(?!\w)|[-‐¬­]$")
