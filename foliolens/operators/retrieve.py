@@ -90,7 +90,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", k
 def fuse(vector: DataFrame, keyword: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """(query, key, score, rank): both legs' scores over the leg's best for the query, weighted and added; a row missing from a leg has 0 there."""
     best = F.max("score").over(Window.partitionBy(query))
-    leg = lambda df, w: df.select(query, key, (F.lit(w) * F.col("score") / best).alias("score"))
+    leg = lambda df, w: df.select(query, key, (F.lit(w) * F.coalesce(F.try_divide(F.col("score"), best), F.lit(0.0))).alias("score"))
     both = leg(vector, weights[0]).unionByName(leg(keyword, weights[1])).groupBy(query, key).agg(F.round(F.sum("score"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -99,7 +99,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int, query: str = "query_id",
 def overlap_score(query_words, window):
     """Stand-in for a model: 2 x share of the query's distinct words that the window has, less 1."""
     asked = F.array_distinct(query_words)
-    return 2 * F.size(F.array_intersect(asked, window)) / F.size(asked) - 1
+    return 2 * F.coalesce(F.try_divide(F.size(F.array_intersect(asked, window)).cast("double"), F.size(asked)), F.lit(0.0)) - 1
 
 
 def rerank(candidates: DataFrame, query: str = "query_id", key: str = "doc_id", query_text: str = "query_text", text: str = "text", size: int = 480, overlap: int = 50, keep: int = 50, threshold: float = 0.0, scorer=overlap_score) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliolens import engine
+from foliolens.functions.models import embedding
 from foliolens.functions.text import BLANKS, FORMAT_CHARS, clean_text, nfc, sentence_break_sql, sentences, words
 from foliolens.functions.vectors import l2_norm, l2_normalize, usable
 from foliolens.operators import answers, catalog, retrieve
@@ -373,3 +375,17 @@ def index_progress(spark, base):
 def stream_job_counts(spark, base):
     """Daily counts of job events, as a stream that runs to its end."""
     return jobs.run_to_end(jobs.daily_counts(jobs.event_stream(spark, f"{base}/job_events.parquet")))
+
+
+@query()
+def embed_chunks(spark, base):
+    """Vectors of all chunk texts by the stand-in embedder."""
+    return _chunks(spark, base).select("chunk_id", embedding(F.col("text")).alias("embedding"))
+
+
+@query()
+def ask_questions(spark, base):
+    """Answers to the stated questions over all documents, with vectors by the stand-in embedder."""
+    docs = _docs(spark, base).select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("untitled")).alias("title"), clean_text(F.col("text")).alias("text"))
+    docs = docs.withColumn("embedding", embedding(F.col("text")))
+    return engine.ask(_asked(spark, base), docs, k=20, keep=5)

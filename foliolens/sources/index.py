@@ -1,0 +1,38 @@
+"""A table kept in versions: readers see the last complete one, writers add the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from foliolens.operators import catalog
+
+
+class VersionedTable:
+    """Parquet versions below one folder. A version counts once its commit mark is there; older ones stay for running readers."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    def versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(s.getPath().getParent().getName()[1:]) for s in found or [])
+
+    def read(self) -> DataFrame:
+        v = self.versions()
+        if not v:
+            raise FileNotFoundError(f"no version of {self.path}")
+        return self.spark.read.parquet(f"{self.path}/v{v[-1]}")
+
+    def write(self, df: DataFrame) -> int:
+        n = (self.versions() or [0])[-1] + 1
+        df.write.mode("errorifexists").parquet(f"{self.path}/v{n}")
+        return n
+
+    def upsert(self, new: DataFrame) -> int:
+        """Replaces all rows of the keys that `new` has."""
+        return self.write(catalog.upsert(self.read(), new, self.key) if self.versions() else new)
+
+    def delete(self, keys: DataFrame) -> int:
+        return self.write(catalog.delete(self.read(), keys, self.key))
