@@ -27,10 +27,15 @@ def knn(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector
     q = _blocks(queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()), key, vector, block_rows, ("qb", "q", ""))
     d = _blocks(data.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()), key, vector, block_rows, ("db", "d", ""))
 
+    def unpack(column: pa.Array, i: int):
+        rows = column.slice(i, 1).flatten()
+        ids = rows.field("id").to_numpy()
+        return ids, rows.field("v").flatten().to_numpy().reshape(len(ids), -1)
+
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for i in range(b.num_rows):
-                (qi, qv), (di, dv) = ((x["id"], x["v"]) for x in ({"id": np.array([y["id"] for y in s]), "v": np.array([y["v"] for y in s])} for s in (b.column("q")[i].as_py(), b.column("d")[i].as_py())))
+                (qi, qv), (di, dv) = unpack(b.column("q"), i), unpack(b.column("d"), i)
                 dist = (qv**2).sum(1)[:, None] + (dv**2).sum(1) - 2 * qv @ dv.T
                 score = np.round(1 / (1 + np.maximum(dist, 0)), 6)
                 order = np.lexsort((np.broadcast_to(di, score.shape), -score), 1)[:, :k]
