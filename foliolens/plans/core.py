@@ -371,10 +371,11 @@ def index_progress(spark, base):
     return catalog.progress(total, distinct_rows(table(spark, base, "index_vectors"), "chunk_id"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, status, count(*) AS events FROM job_events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, status, count(*) AS events FROM job_events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_job_counts(spark, base):
     """Daily counts of job events, as a stream that runs to its end."""
-    return jobs.run_to_end(jobs.daily_counts(jobs.event_stream(spark, f"{base}/job_events.parquet")))
+    counts = jobs.run_to_end(jobs.daily_counts(jobs.event_stream(spark, f"{base}/job_events.parquet")))
+    return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status", "events")
 
 
 @query()
