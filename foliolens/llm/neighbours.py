@@ -133,22 +133,48 @@ def _rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 def _sizes(index: Index, dim: int):
+    """Size and sum of the vectors of each cell."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = np.zeros(len(index.centres), np.int64), np.zeros((len(index.centres), dim))
         for b in batches:
             if b.num_rows:
                 _, first = np.unique(b.column("h").to_numpy(), return_index=True)
-                near = (_unit(_matrix(b.column("v"), dim)[first]).astype(np.float32) @ index.centres.T).argmax(1)
-                cell, n = np.unique(near, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n, pa.int64())], ["cell", "n"])
+                x = _unit(_matrix(b.column("v"), dim)[first])
+                near = (x.astype(np.float32) @ index.centres.T).argmax(1)
+                np.add.at(size, near, 1)
+                np.add.at(total, near, x)
+        cell = np.flatnonzero(size)
+        ends = (np.arange(len(cell) + 1) * dim).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(size[cell]), pa.ListArray.from_arrays(pa.array(ends), pa.array(total[cell].astype(np.float32).reshape(-1)))], ["cell", "n", "v"])
 
     return run
 
 
+def _merged(centres: np.ndarray, size: np.ndarray, total: np.ndarray, spread: float) -> np.ndarray:
+    """A group number for each cell: cells of one group are parts of one crowd, which no centres tell apart.
+
+    Two cells are joined if the members of either lie at most `spread` times as far (squared) from the other's centre as
+    from their own. So a crowd that drew many centres is one group, whatever the number of cells.
+    """
+    far = 1 - (total / np.maximum(size, 1)[:, None]) @ centres.T.astype(np.float64)
+    joined = far <= spread * np.diagonal(far)[:, None]
+    joined &= joined.T & (size > 0) & (size > 0)[:, None]
+    group = np.arange(len(size))
+    while True:
+        least = np.minimum(np.where(joined, group, len(size)).min(1), group)
+        if (least == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = least
+
+
 _ASSIGNED = "cell int, block int, base boolean, h long, key string, code binary, vec binary"
 
 
-def _assign(index: Index, dim: int, probes: int, ratio: float, blocks: np.ndarray):
-    """Each vector once to the block of its cell, and as a query to all other blocks of its nearest cells."""
+def _assign(index: Index, dim: int, probes: int, ratio: float, group: np.ndarray, blocks: np.ndarray):
+    """Each vector once to the block of its group of cells, and as a query to all other blocks of its nearest groups."""
+    order = np.argsort(group, kind="stable")
+    centres, starts = index.centres[order], np.flatnonzero(np.diff(group[order], prepend=-1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +185,7 @@ def _assign(index: Index, dim: int, probes: int, ratio: float, blocks: np.ndarra
             b = b.take(pa.array(first))
             v = _matrix(b.column("v"), dim)
             x = _unit(v).astype(np.float32)
-            score = x @ index.centres.T
+            score = np.maximum.reduceat(x @ centres.T, starts, axis=1)
             p = min(probes, score.shape[1])
             near = np.argpartition(-score, p - 1, 1)[:, :p]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), 1, kind="stable"), 1)
@@ -184,19 +210,26 @@ def _assign(index: Index, dim: int, probes: int, ratio: float, blocks: np.ndarra
     return run
 
 
-def _search(index: Index, dim: int, top: int, rerank: int):
-    def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_536):
+    """Nearest rows of each block for its queries. The rows of a block come before those that are only queries, which are answered in batches."""
+
+    def prepared(t: pa.Table) -> tuple:
+        """The rows of a block in the order of their keys, of equal vectors the one of the smallest key."""
         h = t.column("h").to_numpy()
         base = np.flatnonzero(t.column("base").to_numpy(zero_copy_only=False))
-        if not len(base):
-            return
         keys = np.array(t.column("key").take(pa.array(base)).to_pylist(), object)
-        base = base[np.argsort(keys, kind="stable")]  # of equal vectors the smallest key stays
+        base = base[np.argsort(keys, kind="stable")]
         _, first = np.unique(h[base], return_index=True)
         base = base[np.sort(first)]
-        vecs = _rows(t.column("vec"), np.float32, dim)
         codes = _unpack(_rows(t.column("code").take(pa.array(base)), np.uint8, index.parts // 2))
-        theirs, bh, n = _unit(vecs[base]), h[base], len(base)
+        return _unit(_rows(t.column("vec").take(pa.array(base)), np.float32, dim)), h[base], codes
+
+    def block(t: pa.Table, base: tuple | None) -> Iterator[pa.RecordBatch]:
+        theirs, bh, codes = base or prepared(t)
+        n = len(bh)
+        if not n:
+            return
+        h, vecs = t.column("h").to_numpy(), _rows(t.column("vec"), np.float32, dim)
         _, queries = np.unique(h, return_index=True)
         step = max(32, 2_000_000 // n)
         keep = min(rerank, n)
@@ -216,25 +249,31 @@ def _search(index: Index, dim: int, top: int, rerank: int):
             yield pa.RecordBatch.from_arrays([pa.array(h[q]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bh[k[good]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[good].astype(np.int32)))], ["h", "n", "s"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, kept = None, []
+        open_, kept, base = None, [], None
         for b in batches:
             where = b.column("cell").to_numpy().astype(np.int64) << 32 | b.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), b.num_rows]
             for a, e in zip(cuts, cuts[1:]):
                 if e == a:
                     continue
-                if where[a] != open_ and kept:
-                    yield from block(pa.Table.from_batches(kept).combine_chunks())
-                    kept = []
+                if where[a] != open_:
+                    if kept:
+                        yield from block(pa.Table.from_batches(kept).combine_chunks(), base)
+                    kept, base = [], None
                 open_ = where[a]
                 kept.append(b.slice(a, e - a))
+                if sum(x.num_rows for x in kept) >= batch_rows and not kept[-1].column("base")[-1].as_py():
+                    t = pa.Table.from_batches(kept).combine_chunks()
+                    base = base or prepared(t)
+                    yield from block(t, base)
+                    kept = []
         if kept:
-            yield from block(pa.Table.from_batches(kept).combine_chunks())
+            yield from block(pa.Table.from_batches(kept).combine_chunks(), base)
 
     return run
 
 
-def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000) -> DataFrame:
+def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000, spread: float = 1.35) -> DataFrame:
     """Numbered keys (i, k, h), numbers in the order of keys, and (i, best): each key's nearest as (similarity, number)."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -245,17 +284,21 @@ def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", di
     out = "h long, n array<long>, s array<int>"
     if picked.num_rows:
         index = Index(_unit(_matrix(picked.column("v").combine_chunks(), dim)), max(1, min(max_cells, n // cell_rows)))
-        sizes = {r.cell: r.n for r in good.mapInArrow(_sizes(index, dim), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row a cell
-        blocks = np.array([max(1, -(-sizes.get(c, 0) // block_rows)) for c in range(len(index.centres))])
-        spread = good.mapInArrow(_assign(index, dim, probes, ratio, blocks), _ASSIGNED).repartition("cell", "block").sortWithinPartitions("cell", "block")
-        lists = spread.mapInArrow(_search(index, dim, k + 1, rerank), out)
+        sums = good.mapInArrow(_sizes(index, dim), "cell int, n long, v array<float>").groupBy("cell").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v")).collect()  # a row a cell
+        size, total = np.zeros(len(index.centres), np.int64), np.zeros((len(index.centres), dim))
+        for r in sums:
+            size[r.cell], total[r.cell] = r.n, r.v
+        group = _merged(index.centres, size, total, spread)
+        blocks = np.maximum(1, -(-np.bincount(group, weights=size).astype(np.int64) // block_rows))
+        routed = good.mapInArrow(_assign(index, dim, probes, ratio, group, blocks), _ASSIGNED).repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("base"))
+        lists = routed.mapInArrow(_search(index, dim, k + 1, rerank), out)
     else:
         lists = df.sparkSession.createDataFrame([], out)
     members = written(good.select("h", "k").dropDuplicates(["k"]).sort("k").withColumn("i", F.monotonically_increasing_id()))
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("i"))).filter(F.col("r") <= k + 1)
     first = first.groupBy("h").agg(F.sort_array(F.collect_list("i")).alias("ids"))
     copies = first.filter(F.size("ids") > 1).select("h", F.col("h").alias("n"), F.lit(1_000_000).alias("s"))
-    hits = lists.groupBy("h").agg(F.flatten(F.collect_list(F.arrays_zip("n", "s"))).alias("x"))
+    hits = lists.groupBy("h").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("n", "s")))).alias("x"))
     floor = F.element_at(F.sort_array(F.col("x.s"), False), F.least(F.size("x"), F.lit(k + 1)))
     hits = hits.filter(F.size("x") > 0).select("h", F.explode(F.filter("x", lambda y: y["s"] >= floor)).alias("y")).select("h", F.col("y.n").alias("n"), F.col("y.s").alias("s"))
     found = hits.unionByName(copies).join(first.withColumnRenamed("h", "n"), "n").groupBy("h").agg(
@@ -271,7 +314,9 @@ def nearest(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
     indexed and every vector is a query. A query looks into its nearest cell and into up to
     `probes` that are at least `ratio` as similar, scans their four-bit codes by
     table look-ups, and scores the best `rerank` of each exactly in double precision. Cells beyond `block_rows` are cut
-    into blocks that are searched apart. Equal vectors are searched once: their keys meet by the vector's hash, of which
+    into blocks that are searched apart. Cells that split one crowd are joined first: with its members' distances from
+    the centres at most `spread` times (squared) those from their own, they hold one another's neighbours. A crowd costs
+    the square of its size. Equal vectors are searched once: their keys meet by the vector's hash, of which
     the k + 1 smallest can be anyone's neighbours. Recall is measured in the tests against brute force.
 
     Vectors count that have `dim` finite numbers, not all zero; null, short, long and other vectors and null keys have

@@ -62,3 +62,26 @@ def test_codes_beat_plain_ones_on_large_scores():
     own = (index.scan(x[:200], index.encode(x[:200]))).diagonal()
     plain = (index.scan(x[:200], index._nearest(x[:200]))).diagonal()
     assert np.abs(own - 1).mean() < np.abs(plain - 1).mean()
+
+
+def recall(rows, data, keys, **options):
+    """Share of the true five nearest of `keys` that are found; data without ties and odd vectors."""
+    x = np.array([v for _, v, *_ in data], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    names = np.array([c for c, *_ in data])
+    want = dict(zip(names, names[np.argpartition(-s, 5, 1)[:, :5]].tolist()))
+    got: dict = {}
+    for r in nearest(rows(data, SCHEMA), **options).collect():
+        got.setdefault(r.chunk_id, set()).add(r.near)
+    return sum(len(got.get(c, set()) & set(want[c])) for c in keys) / (5 * len(keys))
+
+
+def test_a_third_in_one_tight_group(rows):
+    g = np.random.default_rng(8)
+    tight = g.normal(size=64) / 8 + np.sqrt(0.03 / 0.97) * g.normal(size=(1000, 64)) / 8
+    rest = (g.normal(size=(250, 1, 64)) + 0.3 * g.normal(size=(250, 8, 64))).reshape(-1, 64)
+    data = [(f"{i * 7919 % 3000:05d}{'t' if i < 1000 else 'r'}", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate([*tight, *rest])]
+    crowd = recall(rows, data, [c for c, *_ in data if c[-1] == "t"], cell_rows=20, rerank=1000)
+    assert crowd >= 0.9 and recall(rows, data, [c for c, *_ in data], cell_rows=20, rerank=1000) >= 0.9, crowd
