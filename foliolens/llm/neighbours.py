@@ -222,10 +222,19 @@ def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_
         _, first = np.unique(h[base], return_index=True)
         base = base[np.sort(first)]
         codes = _unpack(_rows(t.column("code").take(pa.array(base)), np.uint8, index.parts // 2))
-        return _unit(_rows(t.column("vec").take(pa.array(base)), np.float32, dim)), h[base], codes
+        theirs = _unit(_rows(t.column("vec").take(pa.array(base)), np.float32, dim))
+        rest = theirs - index.decode(codes)
+        along = (rest * theirs).sum(1)  # what coding changed along the vector, and how much across it
+        across = np.sqrt(np.maximum((rest**2).sum(1) - along**2, 0))
+        return theirs, h[base], codes, (1 - along).astype(np.float32), across.astype(np.float32)
+
+    def best(sim: np.ndarray, near: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        order = sim * (2 << 32) - near  # rows stand in the order of their keys
+        first = np.argpartition(-order, m - 1, 1)[:, :m]
+        return np.take_along_axis(sim, first, 1), np.take_along_axis(near, first, 1)
 
     def block(t: pa.Table, base: tuple | None) -> Iterator[pa.RecordBatch]:
-        theirs, bh, codes = base or prepared(t)
+        theirs, bh, codes, along, across = base or prepared(t)
         n = len(bh)
         if not n:
             return
@@ -240,10 +249,17 @@ def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_
             near = np.argpartition(score, n - keep, 1)[:, n - keep :] if keep < n else np.broadcast_to(np.arange(n), (len(q), n))
             sim = np.rint(np.einsum("qd,qrd->qr", x, theirs[near]) * 1e6).astype(np.int64)
             sim[bh[near] == h[q][:, None]] = -(10**9)
-            order = sim * (2 * n) + (n - near)  # base rows stand in the order of their keys
             m = min(top, keep)
-            best = np.argpartition(-order, m - 1, 1)[:, :m]
-            s, k = np.take_along_axis(sim, best, 1), np.take_along_axis(near, best, 1)
+            s, k = best(sim, near, m)
+            if keep < n:  # rows whose table score leaves room for an exact one as good as the last found
+                last = np.clip(s.min(1) / 1e6 - 2e-6, -1, 1).astype(np.float32)[:, None]
+                could = score >= last * along - np.sqrt(1 - last**2) * across - 1e-5
+                np.put_along_axis(could, near, False, 1)
+                wide = np.flatnonzero(could.any(1))
+                if len(wide):
+                    sim = np.rint(x[wide] @ theirs.T * 1e6).astype(np.int64)
+                    sim[h[q[wide]][:, None] == bh] = -(10**9)
+                    s[wide], k[wide] = best(sim, np.broadcast_to(np.arange(n), sim.shape), m)
             good = s > -(10**9)
             ends = np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h[q]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bh[k[good]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[good].astype(np.int32)))], ["h", "n", "s"])
@@ -313,7 +329,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
     The index is fitted on a sample of at most `sample_rows` (40,000) vectors, chosen by a hash of their keys; every vector is
     indexed and every vector is a query. A query looks into its nearest cell and into up to
     `probes` that are at least `ratio` as similar, scans their four-bit codes by
-    table look-ups, and scores the best `rerank` of each exactly in double precision. Cells beyond `block_rows` are cut
+    table look-ups, and scores the best `rerank` of each exactly in double precision, then all of the block where the
+    known error of some other row's code, along and across its vector, leaves room for a score as good. Cells beyond `block_rows` are cut
     into blocks that are searched apart. Cells that split one crowd are joined first: with its members' distances from
     the centres at most `spread` times (squared) those from their own, they hold one another's neighbours. A crowd costs
     the square of its size. Equal vectors are searched once: their keys meet by the vector's hash, of which

@@ -85,3 +85,17 @@ def test_a_third_in_one_tight_group(rows):
     data = [(f"{i * 7919 % 3000:05d}{'t' if i < 1000 else 'r'}", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate([*tight, *rest])]
     crowd = recall(rows, data, [c for c, *_ in data if c[-1] == "t"], cell_rows=20, rerank=1000)
     assert crowd >= 0.9 and recall(rows, data, [c for c, *_ in data], cell_rows=20, rerank=1000) >= 0.9, crowd
+
+
+def test_more_equal_and_near_equal_rows_than_are_reranked(rows):
+    g = np.random.default_rng(9)
+    base = g.integers(-8, 9, 64).astype(np.float32)
+    data = [(f"k{i * 7919 % 400:03d}", (base * (i + 1)).tolist(), "x", 1) for i in range(400)]  # one direction, other lengths
+    got: dict = {}
+    for r in nearest(rows(data, SCHEMA)).orderBy("rank").collect():
+        got.setdefault(r.chunk_id, []).append(r.near)
+    first = [f"k{i:03d}" for i in range(6)]
+    assert got == {c: [f for f in first if f != c][:5] for c, *_ in data}
+    fine = g.normal(size=64) + 0.1 * g.normal(size=(1000, 64))
+    data = [(f"f{i:04d}", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate([*fine, *g.normal(size=(1000, 64))])]
+    assert recall(rows, data, [c for c, *_ in data[:1000]], cell_rows=2000) >= 0.99
