@@ -386,7 +386,7 @@ def embed_chunks(spark, base):
 
 @query()
 def ask_questions(spark, base):
-    """Answers to the stated questions over all documents, with vectors by the stand-in embedder."""
-    docs = _docs(spark, base).select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("untitled")).alias("title"), clean_text(F.col("text")).alias("text"))
-    docs = docs.withColumn("embedding", embedding(F.col("text")))
-    return engine.ask(_asked(spark, base), docs, k=20, keep=5)
+    """Answers to the stated questions over all chunks, numbered by a 64-bit hash of chunk_id, with vectors by the stand-in embedder."""
+    titles = _catalog(spark, base).select(F.col("id").alias("doc_id"), "title")
+    chunks = _chunks(spark, base).join(titles, "doc_id", "left").select(F.xxhash64("chunk_id").alias("id"), F.coalesce("title", F.lit("untitled")).alias("title"), clean_text(F.col("text")).alias("text"))
+    return engine.ask(_asked(spark, base), chunks.withColumn("embedding", embedding(F.col("text"))))

@@ -48,3 +48,15 @@ def test_versions(spark, tmp_path):
     t.upsert(spark.createDataFrame([("b", 3)], "doc_id string, v int"))
     t.delete(spark.createDataFrame([("a",), ("zz",)], "doc_id string"))
     assert t.versions() == [1, 2, 3] and [tuple(r) for r in t.read().collect()] == [("b", 3)] and before.count() == 2
+
+
+def test_questions_go_to_chunks_in_full_depth(spark, monkeypatch):
+    from foliolens.plans import core
+
+    base, seen = "/root/testdata/sf0.001", {}
+    monkeypatch.setattr(engine, "search", lambda q, c, k, *a: seen.update(k=k, ids=c.select("id")) or c.select(F.lit(0).alias("query_id"), "id"))
+    rerank = engine.retrieve.rerank
+    monkeypatch.setattr(engine.retrieve, "rerank", lambda *a, **o: seen.update(keep=o["keep"]) or rerank(*a, **o))
+    core.ask_questions(spark, base)
+    assert (seen["k"], seen["keep"]) == (100, 50)
+    assert seen["ids"].distinct().count() == seen["ids"].count() == spark.read.parquet(f"{base}/chunks.parquet").select("chunk_id").distinct().count()
