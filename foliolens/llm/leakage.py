@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 _PACKED = re.compile("([฀-๿぀-ヿ㐀-鿿])")
+_ACCENT = np.array([bool(unicodedata.combining(chr(o))) for o in range(0x20000)] + [False] * 0xF0000)
 OTHER = 1  # any word that no passage has, and the border between documents
 
 
 def normal_words(text: str) -> list[str]:
     """Words without case, accents and punctuation; letters of scripts without spaces count as words."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+        codes = np.frombuffer(unicodedata.normalize("NFKD", text.casefold()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = codes[~_ACCENT[codes]].tobytes().decode("utf-32-le", "surrogatepass")
         if _PACKED.search(text):
             text = _PACKED.sub(r" \1 ", text)
         return _WORD.findall(text)
@@ -188,22 +191,29 @@ class Passages:
         inside = (grid >= 0) & (grid < len(words))
         differs = (~inside | (words[np.clip(grid, 0, max(0, len(words) - 1))] != own[:, None])).astype(np.int32)
         ramp = np.arange(wide, dtype=np.int32)
-        dist = np.full((m - least + 1, wide + 1), 1 << 20, np.int32)
+        far, most = 1 << 20, int(m * self.errors)
+        # the longest stretch begins where a run of equal words does
+        begins = (differs == 0) & (np.vstack([np.ones((1, wide), np.int32), differs[:-1]]) > 0)
+        begins[m - least + 1 :] = False
+        start, dist = np.zeros(0, np.int64), np.zeros((0, wide + 1), np.int32)
         best = None
         for j in range(m):
-            if j <= m - least:
-                dist[j, :wide] = np.where(differs[j] == 0, 0, 1 << 20)
-            rows = dist[: j + 1]
-            step = np.minimum(rows[:, :wide] + differs[j], rows[:, 1:] + 1)
-            rows[:, :wide] = np.minimum.accumulate(step - ramp, axis=1) + ramp
+            if begins[j].any():
+                start, dist = np.append(start, j), np.vstack([dist, np.append(np.where(begins[j], 0, far), far)[None, :]])
+            if not len(start):
+                continue
+            step = np.minimum(dist[:, :wide] + differs[j], dist[:, 1:] + 1)
+            dist[:, :wide] = np.minimum.accumulate(step - ramp, axis=1) + ramp
             if j + 1 >= least:
-                n = j + 1 - np.arange(len(rows))
-                ends = np.where(differs[j] == 0, rows[:, :wide], 1 << 20)
-                near = ends.min(1)
-                good = np.flatnonzero((near <= np.floor(n * self.errors)) & (n >= least))
+                n = j + 1 - start
+                ends = np.where(differs[j] == 0, dist[:, :wide], far)
+                good = np.flatnonzero((ends.min(1) <= np.floor(n * self.errors)) & (n >= least))
                 if len(good) and (best is None or n[good[0]] > best[0]):
                     i = int(good[0])
-                    best = int(n[i]), i, j, int(ends[i].argmin())
+                    best = int(n[i]), int(start[i]), j, int(ends[i].argmin())
+            if j % 8 == 7:  # distances only grow
+                live = dist[:, :wide].min(1) <= most
+                start, dist = start[live], dist[live]
         if best is None:
             return None
         _, i, j, g = best
@@ -231,7 +241,7 @@ def _sequence(docs: list[list[str]], code: dict[str, int]) -> tuple[np.ndarray,
     get = code.get
     seqs, wheres, starts = [], [], [0]
     for words in docs:
-        s = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        s = np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words))
         at = np.flatnonzero(np.append(True, (s[1:] != OTHER) | (s[:-1] != OTHER)))
         seqs += [s[at], [OTHER]]
         wheres += [at, [len(words)]]

@@ -80,8 +80,27 @@ def p8_found(spark, base):
     return quality.not_prose(_table(spark, base, "documents"), _table(spark, base, "common_words"))
 
 
+def p8_counts(spark, base):
+    """Statistics of each document's text by built-in expressions alone."""
+    s = quality.text_statistics(_table(spark, base, "documents"), _table(spark, base, "common_words"))
+    return s.select("doc_id", "words", *(F.round(c, 6).alias(c) for c in s.columns[2:]))
+
+
+_ALONE = "(SELECT list(DISTINCT lower(word)) FROM common_words WHERE lang NOT IN ('th', 'zh', 'ja', 'ko'))"
+_INSIDE = "(SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) FROM (SELECT DISTINCT word FROM common_words WHERE lang IN ('th', 'zh', 'ja', 'ko')))"
+P8_COUNTS = rf"""
+WITH t AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[\s\p{{Z}}\p{{Cc}}]+', '', 'g')) > 0) AS lines,
+ length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS letters, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+(?:[''’-][\p{{L}}\p{{M}}]+)*') AS w,
+ length(regexp_replace(text, '[\s\p{{Z}}\p{{Cc}}]+', '', 'g')) AS solid, length(regexp_replace(text, '[\p{{L}}\p{{M}}\p{{N}}\s\p{{Z}}\p{{Cc}}.,;:!?''"()\[\]«»“”„‘’…。、，！？；：「」『』（）।۔؟،؛–—-]+', '', 'g')) AS symbols
+ FROM documents WHERE length(regexp_replace(text, '[\s\p{{Z}}\p{{Cc}}]+', '', 'g')) > 0),
+c AS (SELECT t.*, length(array_to_string(list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains(alone, x)), '')) + length(array_to_string(regexp_extract_all(text, {_INSIDE}), '')) AS common FROM t, (SELECT {_ALONE} AS alone))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS words, round(coalesce(letters / nullif(len(w), 0), 0.0), 6) AS mean_word_length, round(symbols / solid, 6) AS symbol_ratio,
+ round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？।؟۔:;,]["”»“’)\]」』]*\s*$'))) / len(lines), 6) AS punctuated_lines,
+ round(least(1.0, coalesce(common / nullif(letters, 0), 0.0)), 6) AS common_words FROM c"""
+
+
 def p8_stats(spark, base):
-    """Statistics of each document's text."""
+    """Statistics of each document's text, with its divergences from prose, lists, tables and junk."""
     return quality.text_quality(_table(spark, base, "documents"), _table(spark, base, "common_words"))
 
 
@@ -98,6 +117,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p8_found": p8_found,
+    "p8_counts": p8_counts,
     "p8_stats": p8_stats,
 }
-SQL: dict[str, str] = {}
+SQL = {"p8_counts": P8_COUNTS}
