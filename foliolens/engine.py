@@ -5,46 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.functions.models import embedding, hashed_embedder
+from foliolens.functions.models import chat, embedding, extract_chat, hashed_embedder
 from foliolens.operators import answers, retrieve
 
 PROMPT = (
     "Answer only from the context below. Name every cause and condition that it gives. Say so if it holds no answer. "
     "Begin with one summarising sentence, then list the points as HTML bullets, in at most a hundred lines."
 )
+#: What a question goes through.
+STATES = ("QUEUED", "RETRIEVING", "RERANKING", "ANSWERING", "COMPLETED")
 
 
-def search(questions: DataFrame, chunks: DataFrame, k: int = 100, mode: str = "hybrid", make=hashed_embedder, norms: str = "exact") -> DataFrame:
-    """(query_id, id, score, rank) of the k best chunks; chunks: id LONG, text, embedding; mode: hybrid, knn or keyword.
+def search(questions: DataFrame, chunks: DataFrame, k: int = 100, mode: str = "hybrid", make=hashed_embedder, norms: str = "exact", key: str = "chunk_id", on_error: str = "raise") -> DataFrame:
+    """(query_id, key, score, rank) of the k best chunks; chunks: key, text, embedding; mode: hybrid, knn or keyword.
 
-    Each leg of a hybrid search fetches 2k. Blank questions have no rows.
+    Each leg of a hybrid search fetches 2k. Blank questions have no rows. Errors raise; with on_error='empty' those that
+    show before the search runs (a missing column, an unreadable table) give no rows.
     """
-    asked = questions.filter(F.length(F.trim("text")) > 0)
-    deep = 2 * k if mode == "hybrid" else k
-    near = words = None
-    if mode in ("hybrid", "knn"):
-        q = asked.select(F.col("query_id").alias("id"), embedding(F.col("text"), make).alias("embedding"))
-        near = retrieve.knn(q, chunks.select("id", "embedding"), deep, key="id")
-    if mode in ("hybrid", "keyword"):
-        words = retrieve.bm25(asked, chunks, deep, key="id", norms=norms)
-    if mode == "hybrid":
-        return retrieve.fuse(near, words, k, key="id")
-    if mode not in ("knn", "keyword"):
+    if mode not in ("hybrid", "knn", "keyword"):
         raise ValueError(f"unknown mode {mode}")
-    return near if words is None else words
+    try:
+        asked = questions.filter(F.length(F.trim("text")) > 0)
+        deep = 2 * k if mode == "hybrid" else k
+        near = words = None
+        if mode != "keyword":
+            q = asked.select("query_id", embedding(F.col("text"), make).alias("embedding"))
+            near = retrieve.knn(q, chunks.select(key, "embedding"), deep, key=key, query_key="query_id")
+        if mode != "knn":
+            words = retrieve.bm25(asked, chunks, deep, key=key, norms=norms)
+        return retrieve.fuse(near, words, k, key=key) if mode == "hybrid" else near if words is None else words
+    except Exception:
+        if on_error != "empty":
+            raise
+        return questions.sparkSession.createDataFrame([], f"query_id long, `{key}` string, score double, rank int")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, k: int = 100, keep: int = 50, mode: str = "hybrid", make=hashed_embedder, scorer=retrieve.overlap_score) -> DataFrame:
-    """(query_id, status, context, answer) of every question: search, rerank, context and answer; chunks also need a title.
+def hydrate(found: DataFrame, chunks: DataFrame, rows: int | None = None, key: str = "chunk_id") -> DataFrame:
+    """Hits with their chunks' columns. `rows` is the most hits that there can be: few are broadcast, so that chunks stay where they are."""
+    return chunks.join(retrieve.sized(found, rows), key)
 
-    Questions without surviving hits are COMPLETED with a fixed notice and a null context.
+
+def hits(questions: DataFrame, chunks: DataFrame, k: int = 100, keep: int = 50, mode: str = "hybrid", make=hashed_embedder, scorer=retrieve.overlap_score) -> DataFrame:
+    """(query_id, chunk_id, doc_id, from_page, to_page, text, query_text, score, rank): passages that survive search and reranking."""
+    asked = questions.filter(F.length(F.trim("text")) > 0).select("query_id", F.col("text").alias("query_text"))
+    most = k * asked.count()
+    found = search(questions, chunks, k, mode, make).select("query_id", "chunk_id")
+    rows = hydrate(found, chunks.select("chunk_id", "doc_id", "from_page", "to_page", "text"), most).join(retrieve.sized(asked, most), "query_id")
+    best = retrieve.rerank(rows, key="chunk_id", keep=keep, scorer=scorer)
+    return hydrate(best, chunks.select("chunk_id", "doc_id", "from_page", "to_page", "text"), keep * most // k).join(retrieve.sized(asked, most), "query_id")
+
+
+def reply(questions: DataFrame, found: DataFrame, catalog: DataFrame, model=extract_chat, prompt: str = PROMPT, unknown: str = "skip") -> DataFrame:
+    """(query_id, status, context, answer) from the passages of `hits`: context, the chat model's reply, and cited sources.
+
+    Without passages a question is COMPLETED with a fixed notice and a null context, and the model is not asked. If the
+    model fails, the question is FAILED with its message as the answer.
+    """
+    said = answers.context(found).withColumn("c", chat(F.col("context"), prompt, model))
+    made = answers.html_answer(questions, said.select("query_id", F.col("c.body").alias("body")), answers.cited(found, catalog, unknown=unknown))
+    failed = F.col("c.error").isNotNull()
+    rows = made.join(said, "query_id", "left")
+    return rows.select("query_id", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"), "context", F.when(failed, F.col("c.error")).otherwise(F.col("answer")).alias("answer"))
+
+
+def ask(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, k: int = 100, keep: int = 50, mode: str = "hybrid", make=hashed_embedder, scorer=retrieve.overlap_score, model=extract_chat) -> DataFrame:
+    """(query_id, status, context, answer) of every question.
+
+    chunks: chunk_id, doc_id, text, from_page, to_page, embedding; catalog: id, title. Documents that the catalog does
+    not have are not cited. See `hits` and `reply`.
     """
-    found = search(questions, chunks, k, mode, make).select("query_id", "id")
-    rows = found.join(chunks.select("id", "title", "text"), "id").join(questions.select("query_id", F.col("text").alias("query_text")), "query_id")
-    best = retrieve.rerank(rows, key="id", keep=keep, scorer=scorer).select("query_id", "id", "rank")
-    hits = best.join(rows, ["query_id", "id"])
-    replies = answers.html_answer(questions, hits)
-    return replies.join(answers.context(hits), "query_id", "left").select("query_id", F.lit("COMPLETED").alias("status"), "context", "answer")
+    return reply(questions, hits(questions, chunks, k, keep, mode, make, scorer), catalog, model)
+
+
+def job_log(replies: DataFrame) -> DataFrame:
+    """(job_id, seq, status, answer): the states that each question of `ask` went through; only the last has an answer."""
+    steps = F.when(F.col("context").isNull(), F.array(*map(F.lit, STATES[:3]))).otherwise(F.array(*map(F.lit, STATES[:4])))
+    rows = replies.select("query_id", "answer", F.concat(steps, F.array("status")).alias("s"))
+    rows = rows.select("query_id", "answer", F.size("s").alias("n"), F.posexplode("s").alias("seq", "status"))
+    return rows.select(F.col("query_id").alias("job_id"), (F.col("seq") + 1).cast("long").alias("seq"), "status", F.when(F.col("seq") + 1 == F.col("n"), F.col("answer")).alias("answer"))
 
 
 def debug_lines(hits: DataFrame) -> DataFrame:

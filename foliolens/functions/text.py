@@ -16,9 +16,9 @@ BLANKS = r"[ \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\
 WORD = r"[\p{L}\p{N}]+"
 
 ABBREVIATIONS = (  # fixed values: forms whose full stop ends no sentence for the plain splitter
-    "Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Inc", "Ltd", "Co", "Corp", "St", "Ave", "Blvd", "Rd",
+    "Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "Inc", "Ltd", "Corp", "Co", "St", "Ave", "Blvd", "Rd",
     "etc", "vs", "eg", "ie", "cf", "ca", "approx",
-    "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
+    "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
     "Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun", "U.S.A", "U.K", "U.N",
 )
 _ABBR = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
@@ -43,11 +43,15 @@ def clean_text(text: Column) -> Column:
 
 
 @pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed Unicode form; null stays null."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Composed Unicode form; null stays null. Texts of ASCII alone do not leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null gives an empty array."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
@@ -56,10 +60,3 @@ def words(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of cleaned text as an array; blank or null text gives an empty one."""
     return F.when(F.length(F.trim(text)) > 0, F.split(text, SENTENCE_BREAK)).otherwise(F.array().cast("array<string>"))
-
-
-def sentence_break_sql(column: str) -> str:
-    """The same split for engines whose regular expressions lack look-behind: mark, unmark, split."""
-    sep = "chr(31)"
-    marked = rf"regexp_replace({column}, '([.!?])\s+([\"''\p{{Lu}}])', '\1' || {sep} || '\2', 'g')"
-    return rf"string_split(regexp_replace({marked}, '(\b(?:{_ABBR})\.)' || {sep}, '\1 ', 'g'), {sep})"

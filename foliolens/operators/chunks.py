@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions.text import ABBREVIATIONS
 
-_BREAK = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_BREAK = re.compile(r"(?<=[.!?])[ \t\n\v\f\r]+(?=\S)")
 _GUARD = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(re.escape(a) for a in ABBREVIATIONS)})\.\Z")
 
 
@@ -21,7 +22,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     spans, start = [], 0
     for m in _BREAK.finditer(text):
         opens = text[m.end()]
-        if (opens.isupper() or opens in "\"'") and not _GUARD.search(text, max(0, m.start() - 20), m.start()):
+        if (unicodedata.category(opens) == "Lu" or opens in "\"'") and not _GUARD.search(text, max(0, m.start() - 20), m.start()):
             spans.append((start, m.start()))
             start = m.end()
     return [*spans, (start, len(text))] if start < len(text) else spans
@@ -74,12 +75,17 @@ def pack(text: str, target: int = 2000, overlap: int = 200) -> list[tuple[str, i
     return out
 
 
-def chunk_texts(docs: DataFrame, key: str, text: str, target: int = 2000, overlap: int = 200, offsets: str | None = None) -> DataFrame:
+def chunk_texts(docs: DataFrame, key: str, text: str, target: int = 2000, overlap: int = 200, offsets: str | None = None, invalid: str = "skip") -> DataFrame:
     """(doc_id, chunk_id, text, page_start, page_end) of cleaned texts, documents apart from each other.
 
     offsets names a column of arrays of (page, start, end); without it, or with null, pages are -1. Null and blank texts
-    and null keys have no chunks.
+    and null keys have no chunks. With invalid='raise' a null or blank key, a null text, or extents that do not end where the
+    text does raise instead.
     """
+    if invalid == "raise":
+        last = F.element_at(offsets, -1)["end"] if offsets else F.lit(None)
+        bad = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "") | F.col(text).isNull() | F.coalesce(last != F.length(text), F.lit(False))
+        docs = docs.withColumn(text, F.when(bad, F.raise_error(F.concat(F.lit("invalid document "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")).otherwise(F.col(text))).filter(F.col(text).isNotNull() | F.col(key).isNull())
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), (F.col(offsets) if offsets else F.lit(None).cast("array<struct<page:int,start:int,end:int>>")).alias("o"))
 
     def run(batches: Iterable[pa.RecordBatch]):

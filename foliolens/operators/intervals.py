@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -109,12 +109,12 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], lo: str = "from_page
 
 
 def coalesced(intervals: DataFrame, keys: list[str], lo: str = "from_page", hi: str = "to_page") -> DataFrame:
-    """Continuous periods (keys, from_page, to_page) with window functions alone; the same rows count."""
-    ok = (F.col(lo) >= 1) & (F.col(lo) <= F.col(hi))
-    for k in keys:
-        ok &= F.col(k).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.filter(ok).select(*keys, lo, hi).distinct().withColumn("new_", F.when(reach + 1 >= F.col(lo), 0).otherwise(1))
-    island = F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island_", island).groupBy(*keys, "island_").agg(F.min(lo).alias("from_page"), F.max(hi).alias("to_page")).drop("island_")
+    """Continuous periods (keys, from_page, to_page); as periods_and_gaps without the gaps."""
+    return periods_and_gaps(intervals, keys, lo, hi).filter("kind = 'period'").drop("kind")
+
+
+def checked(intervals: DataFrame, lo: str = "from_page", hi: str = "to_page") -> DataFrame:
+    """The rows as they are; a row whose ends are reversed raises when it is read. Null and unknown ends (below 1) pass."""
+    wrong = (F.col(lo) >= 1) & (F.col(lo) > F.col(hi))
+    message = F.concat(F.lit("interval begins after its end: "), F.col(lo).cast("string"), F.lit(" > "), F.col(hi).cast("string"))
+    return intervals.withColumn(lo, F.when(wrong, F.raise_error(message).cast("int")).otherwise(F.col(lo)))

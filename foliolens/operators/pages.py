@@ -16,12 +16,11 @@ def page_offsets(pages: DataFrame, doc: str = "doc_id", page: str = "page", text
     """
     w = Window.partitionBy(doc).orderBy(page)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
     c = pages.select(doc, page, F.coalesce(clean_page(F.col(text)), F.lit("")).alias("c"))
     before = F.last(F.when(F.length("c") > 0, F.right("c", F.lit(1))), ignorenulls=True).over(earlier)
     c = c.withColumn("before", before).withColumn("c", F.when(F.col("c").startswith(" ") & (F.coalesce("before", F.lit(" ")) == " "), F.substring("c", 2, 2**31 - 1)).otherwise(F.col("c")))
-    more = F.coalesce(F.max(F.length("c")).over(later), F.lit(0))
-    c = c.withColumn("c", F.when((more == 0) & F.col("c").endswith(" "), F.rtrim("c")).otherwise(F.col("c"))).filter(F.length("c") > 0)
+    final = F.max(F.when(F.length("c") > 0, F.col(page))).over(Window.partitionBy(doc))
+    c = c.withColumn("final", final).withColumn("c", F.when((F.col(page) == F.col("final")) & F.col("c").endswith(" "), F.rtrim("c")).otherwise(F.col("c"))).filter(F.length("c") > 0)
     end = F.sum(F.length("c")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return c.select(doc, page, F.col("c").alias("clean"), (end - F.length("c")).alias("start"), end.alias("end"))
 
@@ -32,6 +31,12 @@ def windows(length, size: int, stride: int):
     return F.when(length > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: (i * stride).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def pair_windows(query, passage, limit: int = 512, size: int = 480, stride: int = 430):
+    """Starts of windows over a query followed by a passage, by their lengths: one window up to `limit`, else windows of `size`."""
+    n = query + passage
+    return F.when((n > 0) & (n <= limit), F.array(F.lit(0))).otherwise(windows(n, size, stride))
+
+
 def hard_split(docs: DataFrame, key: str, text: str = "text", size: int = 2000, overlap: int = 200) -> DataFrame:
     """(key, start, piece): texts longer than size in windows that overlap; shorter and null ones have no rows."""
     rows = docs.filter(F.length(text) > size)

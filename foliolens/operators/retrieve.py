@@ -12,25 +12,36 @@ from pyspark.sql import functions as F
 from foliolens.functions.text import words
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int, names: tuple[str, str, str]) -> DataFrame:
-    n = max(1, -(-df.count() // rows))
+#: Most rows of short columns that are broadcast; beyond, a join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table with a broadcast hint if it has few rows: as many as stated, else as counted."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def _blocks(df: DataFrame, key: str, vector: str, rows: int, names: tuple[str, str]) -> DataFrame:
+    """Blocks of about `rows` vectors in the order of their keys, and the keys' type."""
+    n = max(1, -(-df.select(key).count() // rows))
     block = F.pmod(F.xxhash64(key), F.lit(n)).alias(names[0])
-    return df.select(block, key, vector).groupBy(names[0]).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(names[1]))
+    good = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    return good.select(block, key, vector).groupBy(names[0]).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))).alias(names[1]))
 
 
-def knn(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2000) -> DataFrame:
+def knn(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2000, query_key: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k rows nearest to each query, score = 1 / (1 + squared distance) at six decimals.
 
     A stated set of queries meets all rows in blocks of bounded size, one matrix product a pair of blocks; each block
     keeps k rows a query. Equal scores come by key. Null vectors are left out; all others must have one length.
     """
-    q = _blocks(queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()), key, vector, block_rows, ("qb", "q", ""))
-    d = _blocks(data.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()), key, vector, block_rows, ("db", "d", ""))
+    q = _blocks(queries, query_key or key, vector, block_rows, ("qb", "q"))
+    d = _blocks(data, key, vector, block_rows, ("db", "d"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
 
     def unpack(column: pa.Array, i: int):
         rows = column.slice(i, 1).flatten()
-        ids = rows.field("id").to_numpy()
-        return ids, rows.field("v").flatten().to_numpy().reshape(len(ids), -1)
+        return rows.field("id"), rows.field("v").flatten().to_numpy().reshape(len(rows), -1)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
@@ -38,11 +49,11 @@ def knn(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector
                 (qi, qv), (di, dv) = unpack(b.column("q"), i), unpack(b.column("d"), i)
                 dist = (qv**2).sum(1)[:, None] + (dv**2).sum(1) - 2 * qv @ dv.T
                 score = np.round(1 / (1 + np.maximum(dist, 0)), 6)
-                order = np.lexsort((np.broadcast_to(di, score.shape), -score), 1)[:, :k]
+                order = np.argsort(-score, 1, kind="stable")[:, :k]
                 n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(di[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(np.repeat(np.arange(len(qi)), n))), di.take(pa.array(order.ravel())), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", key, "score"])
 
-    found = q.crossJoin(d).mapInArrow(run, f"query_id long, `{key}` long, score double")
+    found = q.crossJoin(d).mapInArrow(run, f"query_id {kind(queries, query_key or key)}, `{key}` {kind(data, key)}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -52,11 +63,6 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, dl): number of words of each document; null texts have 0."""
-    return docs.select(key, F.size(words(F.col(text))).alias("dl"))
-
-
 def term_stats(posts: DataFrame) -> DataFrame:
     """(term, df, cf): documents with the term, and its occurrences."""
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -74,20 +80,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", k
     """(query, key, score, rank): the k documents that fit each query's words best, any word may match.
 
     A word's repetitions in the query count. Equal scores (at six decimals) come by key. Statistics are of the given
-    documents, computed in the same plan; word lists are joined by term, so that no document is compared with a query
-    that it shares no word with.
+    documents. Only words that some query asks leave the scan, and only once, by document; documents need distinct keys.
+    Null keys and null texts count as documents without words. An empty table gives no rows.
     """
-    posts = postings(docs, key, text)
-    size = lengths(docs, key, text)
-    whole = size.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))  # one row
-    df = term_stats(posts).select("term", "df")
     terms = postings(queries, query, text).withColumnRenamed("tf", "qtf")
+    asked = terms.select("term").distinct()
+    few = asked.count()
+    w = docs.select(key, words(F.col(text)).alias("w"))
+    # the words of a document that some query asks, and '' for the document itself; one shuffle by document serves all below
+    rows = w.select(key, F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    rows = rows.join(sized(asked.union(asked.sparkSession.range(1).select(F.lit(""))), few), "term", "left_semi")
+    posts = rows.repartition(key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = posts.agg(F.count_if(F.col("term") == "").alias("N"), F.avg(F.when(F.col("term") == "", F.col("dl"))).alias("avgdl"))  # one row
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dl = quantized(F.col("dl")) if norms == "quantized" else F.col("dl")
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    weights = terms.join(df, "term")
-    hits = weights.join(posts, "term").join(size, key).crossJoin(F.broadcast(whole))
-    scores = hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+    weights = sized(terms.join(sized(df, few), "term"), terms.count())
+    scores = posts.join(weights, "term").crossJoin(F.broadcast(whole)).groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -107,16 +117,21 @@ def overlap_score(query_words, window):
     return 2 * F.coalesce(F.try_divide(F.size(F.array_intersect(asked, window)).cast("double"), F.size(asked)), F.lit(0.0)) - 1
 
 
-def rerank(candidates: DataFrame, query: str = "query_id", key: str = "doc_id", query_text: str = "query_text", text: str = "text", size: int = 480, overlap: int = 50, keep: int = 50, threshold: float = 0.0, scorer=overlap_score) -> DataFrame:
+def rerank(candidates: DataFrame, query: str = "query_id", key: str = "doc_id", query_text: str = "query_text", text: str = "text", limit: int = 512, size: int = 480, overlap: int = 50, keep: int = 50, threshold: float = 0.0, scorer=overlap_score) -> DataFrame:
     """(query, key, score, rank): candidates scored in windows of words, the best window counts; below the threshold or NaN they go, `keep` stay.
 
-    scorer takes the columns of query words and window words; a model's pandas function fits there.
+    The query's words followed by the passage's are one window up to `limit` words, else windows of `size` that share
+    `overlap`; the scorer takes the columns of the query's words and of a window's passage words. A model's pandas
+    function fits there.
     """
-    from foliolens.operators.pages import windows
-
-    w = words(F.col(text))
-    rows = candidates.select(query, key, words(F.col(query_text)).alias("q"), w.alias("w"))
-    rows = rows.select(query, key, "q", F.explode(F.transform(windows(F.size("w"), size, size - overlap), lambda s: F.slice("w", s + 1, size))).alias("part"))
+    from foliolens.operators.pages import pair_windows
+
+    rows = candidates.select(query, key, words(F.col(query_text)).alias("q"), words(F.col(text)).alias("w"))
+    long = F.size("q") + F.size("w") > limit
+    start = F.explode(pair_windows(F.size("q"), F.size("w"), limit, size, size - overlap)).alias("start")
+    rows = rows.select(query, key, "q", "w", F.when(long, size).otherwise(limit).alias("wide"), start)
+    first = F.greatest(F.col("start") - F.size("q"), F.lit(0))
+    rows = rows.select(query, key, "q", F.slice("w", first + 1, F.greatest(F.col("start") + F.col("wide") - F.size("q") - first, F.lit(0))).alias("part"))
     best = rows.groupBy(query, key).agg(F.max(F.round(scorer(F.col("q"), F.col("part")), 6)).alias("score"))
     good = best.filter((F.col("score") >= threshold) & ~F.isnan("score"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))

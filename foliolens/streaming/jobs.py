@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def _place(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the one that the cluster shares; only a session on this machine may have none, and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -42,11 +47,15 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def ingest(files: DataFrame, parse, sink: str, on_error: str = "skip"):
-    """Starts a stream of raw files (binaryFile) to page rows appended to a folder."""
+def ingest(files: DataFrame, parse, sink: str, checkpoint: str, on_error: str = "skip"):
+    """Starts a stream of raw files (binaryFile) to page rows in folders `sink`/batch=N, with its progress in `checkpoint`.
+
+    Both folders are the caller's and stay: a stream started again with them goes on after the files that it has read. A
+    batch that runs again writes its own folder again, so no file is there twice.
+    """
     from foliolens.sources.pages import extract_pages
 
     def write(batch: DataFrame, n: int) -> None:
-        extract_pages(batch, parse, on_error).write.mode("append").parquet(sink)
+        extract_pages(batch, parse, on_error).write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
-    return files.writeStream.option("checkpointLocation", _place(files.sparkSession)).foreachBatch(write).trigger(availableNow=True).start()
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()

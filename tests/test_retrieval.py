@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliolens.functions.vectors import euclidean_score, l2_normalize, usable
@@ -86,10 +87,14 @@ def test_citations_and_answers(spark):
     p = spark.createDataFrame([(1, "d", 1, 5), (1, "d", 7, 7), (1, "gone", 1, 1)], "query_id long, doc_id string, from_page int, to_page int")
     c = spark.createDataFrame([("d", "T", 5)], "id string, title string, from_page int")
     assert [r.citation for r in answers.citations(p, c, ["query_id", "doc_id"]).collect()] == ["T p. 1-5, 7"]
+    with pytest.raises(Exception, match="document not found: gone"):
+        answers.citations(p, c, ["query_id", "doc_id"], unknown="raise").collect()
     hits = spark.createDataFrame([(1, 2, "Second.", "B", "q?"), (1, 1, "First <x>. More.", "A&B", "q?")], "query_id long, rank int, text string, title string, query_text string")
     asked = spark.createDataFrame([(1,), (2,)], "query_id long")
-    got = {r.query_id: r.answer for r in answers.html_answer(asked, hits).collect()}
-    assert got[1] == "<p>First &lt;x&gt;.</p><h4>Sources</h4><ul><li>A&amp;B</li><li>B</li></ul>" and answers.NOTHING in got[2]
+    bodies = spark.createDataFrame([(1, "<p>x</p>")], "query_id long, body string")
+    sources = hits.select("query_id", F.col("rank").alias("place"), F.col("title").alias("citation"))
+    got = {r.query_id: r.answer for r in answers.html_answer(asked, bodies, sources).collect()}
+    assert got == {1: "<p>x</p><p>Sources:</p><ul>\n<li>A&amp;B</li>\n<li>B</li>\n</ul>\n", 2: answers.NOTHING}
     assert answers.context(hits).first().context == "CONTEXT:\n- First <x>. More.\n- Second.\n\nQUESTION: q?"
 
 

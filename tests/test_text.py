@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions.text import clean_page, clean_text, sentences, words
 from foliolens.operators.chunks import chunk_texts, pack, sentence_spans
-from foliolens.operators.pages import hard_split, page_offsets, windows
+from foliolens.operators.pages import hard_split, page_offsets, pair_windows, windows
 from foliolens.sources.tables import file_extension, resolve_mime
 
 CLEAN = [
@@ -45,7 +45,7 @@ def test_page_offsets_equal_joined_text(spark):
 
 
 SENTENCES = [
-    ("Dr. Smith went. He left.", ["Dr. Smith went.", "He left."]), ("See e.g. Table one.", ["See e.g.", "Table one."]),
+    ("Dr. Smith went. He left.", ["Dr. Smith went.", "He left."]), ("It was in May. The sun shone. Mayo. Jar.", ["It was in May. The sun shone.", "Mayo.", "Jar."]), ("See e.g. Table one.", ["See e.g.", "Table one."]),
     ('He said "Go." Then left.', ['He said "Go." Then left.']), ("It rose. 5 fell. (Then) it stopped.", ["It rose. 5 fell. (Then) it stopped."]),
     ("ouéie. Next one.", ["ouéie.", "Next one."]), ("  ", []), (None, []),
 ]
@@ -84,12 +84,18 @@ def test_chunk_ids_and_pages(spark):
     assert got == ["d_00000_p1-2", "d_00001_p2-2", "e_00000", "e_00001"]
     with pytest.raises(ValueError):
         pack("A b.", 10, 10)
+    assert chunk_texts(df.filter("k = 'd'"), "k", "t", 20, 5, "o", invalid="raise").count() == 2
+    for bad in (df.filter("k is null"), df.filter("k = 'f'"), df.filter("k = 'd'").withColumn("t", F.concat("t", F.lit("x")))):
+        with pytest.raises(Exception, match="invalid document"):
+            chunk_texts(bad, "k", "t", 20, 5, "o", invalid="raise").collect()
 
 
 def test_windows_and_small_functions(spark):
     df = spark.createDataFrame([(513, "A.B.PDF", "x"), (1000, "noext", " "), (480, None, None), (0, "a.zzz", "")], "n int, name string, mime string")
     rows = df.select(windows(F.col("n"), 480, 430).alias("w"), file_extension(F.col("name")).alias("e"), resolve_mime(F.col("mime"), F.col("name")).alias("m")).collect()
     assert [r.w for r in rows] == [[0, 430], [0, 430, 860], [0], []]
+    both = spark.createDataFrame([(12, 500), (13, 500), (0, 0), (0, 481)], "q int, n int").select(pair_windows(F.col("q"), F.col("n")).alias("w")).collect()
+    assert [r.w for r in both] == [[0], [0, 430], [], [0]]
     assert [r.e for r in rows] == [".pdf", "", "", ".zzz"]
     assert [r.m for r in rows] == ["x", *["application/octet-stream"] * 3]
     texts = spark.createDataFrame([(1, "x" * 4100), (2, "short"), (3, None)], "id int, text string")
