@@ -82,11 +82,13 @@ def chunk_texts(docs: DataFrame, key: str, text: str, target: int = 2000, overla
     and null keys have no chunks. With invalid='raise' a null or blank key, a null text, or extents that do not end where the
     text does raise instead.
     """
+    kept, body = F.col(key).isNotNull(), F.col(text)
     if invalid == "raise":
         last = F.element_at(offsets, -1)["end"] if offsets else F.lit(None)
         bad = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "") | F.col(text).isNull() | F.coalesce(last != F.length(text), F.lit(False))
-        docs = docs.withColumn(text, F.when(bad, F.raise_error(F.concat(F.lit("invalid document "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")).otherwise(F.col(text))).filter(F.col(text).isNotNull() | F.col(key).isNull())
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), (F.col(offsets) if offsets else F.lit(None).cast("array<struct<page:int,start:int,end:int>>")).alias("o"))
+        error = F.raise_error(F.concat(F.lit("invalid document "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        kept, body = F.lit(True), F.when(bad, error.cast("string")).otherwise(body)
+    rows = docs.filter(kept).select(F.col(key).cast("string").alias("k"), body.alias("t"), (F.col(offsets) if offsets else F.lit(None).cast("array<struct<page:int,start:int,end:int>>")).alias("o"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
