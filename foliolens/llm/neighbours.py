@@ -210,10 +210,104 @@ def _assign(index: Index, dim: int, probes: int, ratio: float, group: np.ndarray
     return run
 
 
-def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_536):
+def _best(sim: np.ndarray, near: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m most similar of each row; of equal ones those of smaller numbers, as rows stand in the order of their keys."""
+    order = sim * (2 << 32) - near
+    first = np.argpartition(-order, m - 1, 1)[:, :m]
+    return np.take_along_axis(sim, first, 1), np.take_along_axis(near, first, 1)
+
+
+_NONE = -(10**9)
+
+
+class Block:
+    """The rows of a block in the order of their keys, as codes and vectors, in cells of their own where they are many.
+
+    A block of more than twice `cell_rows` rows is cut into cells of half as many by centres fitted on rows spread over it. How many of
+    them a query looks into is measured: as many as hold `share` of the true neighbours of some of its rows, all of them
+    if these lie anywhere. So the work of a query grows far less than the block, unless its rows are one crowd.
+    """
+
+    def __init__(self, index: Index, vectors: np.ndarray, codes: np.ndarray, h: np.ndarray, top: int, rerank: int, cell_rows: int, share: float = 0.99, tried: int = 64):
+        self.index, self.h, self.codes, self.top, self.rerank = index, h, codes, top, rerank
+        self.vectors = vectors
+        rest = vectors - index.decode(codes)
+        along = (rest * vectors).sum(1)  # what coding changed along the vector, and how much across it
+        self.across = np.sqrt(np.maximum((rest**2).sum(1) - along**2, 0)).astype(np.float32)
+        self.along = (1 - along).astype(np.float32)
+        n = len(h)
+        self.cells, self.probes = [np.arange(n)], 1
+        self.centres = np.zeros((1, vectors.shape[1]), np.float32)
+        if n > 2 * cell_rows:
+            k = 2 * n // cell_rows
+            some = vectors[np.linspace(0, n - 1, min(n, 20 * k)).astype(np.int64)].astype(np.float32)
+            c = some[:: max(1, len(some) // k)][:k].copy()
+            for _ in range(5):
+                near = (some @ c.T).argmax(1)
+                total = np.zeros_like(c)
+                np.add.at(total, near, some)
+                size = np.linalg.norm(total, axis=1)
+                c = np.where(size[:, None] > 0, total / np.maximum(size, 1e-9)[:, None], c)
+            x = vectors.astype(np.float32)
+            near = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, n, 8192)])
+            at = np.linspace(0, n - 1, min(n, tried)).astype(np.int64)
+            sim = x[at] @ x.T
+            sim[np.arange(len(at)), at] = -2
+            true = np.argpartition(-sim, top - 1, 1)[:, :top]
+            place = np.argsort(np.argsort(-(x[at] @ c.T), 1), 1)  # the place of each cell for each query
+            probes = int(np.quantile(np.take_along_axis(place, near[true], 1), share, method="higher")) + 1
+            if probes <= k // 2:
+                order = np.argsort(near, kind="stable")
+                cuts = np.searchsorted(near[order], np.arange(k + 1))
+                self.cells, self.centres, self.probes = [order[a:e] for a, e in zip(cuts, cuts[1:])], c, probes
+        self.scanned = 0  # codes that were looked at so far
+
+    def search(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most similar rows of each query but its own: similarities in millionths, and numbers; _NONE fills up."""
+        m = min(self.top, len(self.h))
+        best = np.full((len(x), m), _NONE, np.int64), np.full((len(x), m), len(self.h), np.int64)
+        x32 = x.astype(np.float32)
+        if len(self.cells) == 1:
+            asked = [(0, np.arange(len(x)))]
+        else:
+            near = np.argpartition(-(x32 @ self.centres.T), self.probes - 1, 1)[:, : self.probes]
+            order = np.argsort(near, axis=None, kind="stable")
+            cuts = np.searchsorted(near.reshape(-1)[order], np.arange(len(self.cells) + 1))
+            asked = [(c, order[a:e] // self.probes) for c, (a, e) in enumerate(zip(cuts, cuts[1:])) if e > a]
+
+        def merge(q: np.ndarray, sim: np.ndarray, rows: np.ndarray) -> None:
+            sim[self.h[rows] == own[q][:, None]] = _NONE
+            s, k = _best(np.hstack([best[0][q], sim]), np.hstack([best[1][q], rows]), m)
+            best[0][q], best[1][q] = s, k
+
+        open_ = []
+        for c, q in asked:
+            rows = self.cells[c]
+            if not len(rows):
+                continue
+            score = self.index.scan(x32[q], self.codes[rows])
+            self.scanned += score.size
+            keep = min(self.rerank, len(rows))
+            near = np.argpartition(score, len(rows) - keep, 1)[:, len(rows) - keep :] if keep < len(rows) else np.broadcast_to(np.arange(len(rows)), score.shape)
+            merge(q, np.rint(np.einsum("qd,qrd->qr", x[q], self.vectors[rows[near]]) * 1e6).astype(np.int64), rows[near])
+            if keep < len(rows):
+                np.put_along_axis(score, near, -9.0, 1)
+                open_.append((rows, q, score))
+        for rows, q, score in open_:  # rows whose table score leaves room for an exact one as good as the last found
+            last = np.clip(best[0][q].min(1) / 1e6 - 2e-6, -1, 1).astype(np.float32)[:, None]
+            could = (score >= last * self.along[rows] - np.sqrt(1 - last**2) * self.across[rows] - 1e-5) & (score > -9)
+            wide = np.flatnonzero(could.any(1))
+            if len(wide):
+                sim = np.rint(x[q[wide]] @ self.vectors[rows].T * 1e6).astype(np.int64)
+                sim[score[wide] == -9] = _NONE  # these are in already
+                merge(q[wide], sim, np.broadcast_to(rows, sim.shape).copy())
+        return best
+
+
+def _search(index: Index, dim: int, top: int, rerank: int, cell_rows: int, batch_rows: int = 65_536):
     """Nearest rows of each block for its queries. The rows of a block come before those that are only queries, which are answered in batches."""
 
-    def prepared(t: pa.Table) -> tuple:
+    def prepared(t: pa.Table) -> Block | None:
         """The rows of a block in the order of their keys, of equal vectors the one of the smallest key."""
         h = t.column("h").to_numpy()
         base = np.flatnonzero(t.column("base").to_numpy(zero_copy_only=False))
@@ -221,51 +315,26 @@ def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_
         base = base[np.argsort(keys, kind="stable")]
         _, first = np.unique(h[base], return_index=True)
         base = base[np.sort(first)]
+        if not len(base):
+            return None
         codes = _unpack(_rows(t.column("code").take(pa.array(base)), np.uint8, index.parts // 2))
-        theirs = _unit(_rows(t.column("vec").take(pa.array(base)), np.float32, dim))
-        rest = theirs - index.decode(codes)
-        along = (rest * theirs).sum(1)  # what coding changed along the vector, and how much across it
-        across = np.sqrt(np.maximum((rest**2).sum(1) - along**2, 0))
-        return theirs, h[base], codes, (1 - along).astype(np.float32), across.astype(np.float32)
-
-    def best(sim: np.ndarray, near: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        order = sim * (2 << 32) - near  # rows stand in the order of their keys
-        first = np.argpartition(-order, m - 1, 1)[:, :m]
-        return np.take_along_axis(sim, first, 1), np.take_along_axis(near, first, 1)
-
-    def block(t: pa.Table, base: tuple | None) -> Iterator[pa.RecordBatch]:
-        theirs, bh, codes, along, across = base or prepared(t)
-        n = len(bh)
-        if not n:
+        return Block(index, _unit(_rows(t.column("vec").take(pa.array(base)), np.float32, dim)), codes, h[base], top, rerank, cell_rows)
+
+    def answers(t: pa.Table, block: Block | None) -> Iterator[pa.RecordBatch]:
+        if block is None:
             return
         h, vecs = t.column("h").to_numpy(), _rows(t.column("vec"), np.float32, dim)
         _, queries = np.unique(h, return_index=True)
-        step = max(32, 2_000_000 // n)
-        keep = min(rerank, n)
+        step = max(32, 2_000_000 // max(1, block.probes * max(map(len, block.cells))))
         for i in range(0, len(queries), step):
             q = queries[i : i + step]
-            x = _unit(vecs[q])
-            score = index.scan(x.astype(np.float32), codes)
-            near = np.argpartition(score, n - keep, 1)[:, n - keep :] if keep < n else np.broadcast_to(np.arange(n), (len(q), n))
-            sim = np.rint(np.einsum("qd,qrd->qr", x, theirs[near]) * 1e6).astype(np.int64)
-            sim[bh[near] == h[q][:, None]] = -(10**9)
-            m = min(top, keep)
-            s, k = best(sim, near, m)
-            if keep < n:  # rows whose table score leaves room for an exact one as good as the last found
-                last = np.clip(s.min(1) / 1e6 - 2e-6, -1, 1).astype(np.float32)[:, None]
-                could = score >= last * along - np.sqrt(1 - last**2) * across - 1e-5
-                np.put_along_axis(could, near, False, 1)
-                wide = np.flatnonzero(could.any(1))
-                if len(wide):
-                    sim = np.rint(x[wide] @ theirs.T * 1e6).astype(np.int64)
-                    sim[h[q[wide]][:, None] == bh] = -(10**9)
-                    s[wide], k[wide] = best(sim, np.broadcast_to(np.arange(n), sim.shape), m)
-            good = s > -(10**9)
+            s, k = block.search(_unit(vecs[q]), h[q])
+            good = s > _NONE
             ends = np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h[q]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bh[k[good]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[good].astype(np.int32)))], ["h", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[q]), pa.ListArray.from_arrays(pa.array(ends), pa.array(block.h[k[good]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[good].astype(np.int32)))], ["h", "n", "s"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, kept, base = None, [], None
+        open_, kept, block = None, [], None
         for b in batches:
             where = b.column("cell").to_numpy().astype(np.int64) << 32 | b.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), b.num_rows]
@@ -274,22 +343,24 @@ def _search(index: Index, dim: int, top: int, rerank: int, batch_rows: int = 65_
                     continue
                 if where[a] != open_:
                     if kept:
-                        yield from block(pa.Table.from_batches(kept).combine_chunks(), base)
-                    kept, base = [], None
+                        t = pa.Table.from_batches(kept).combine_chunks()
+                        yield from answers(t, block or prepared(t))
+                    kept, block = [], None
                 open_ = where[a]
                 kept.append(b.slice(a, e - a))
                 if sum(x.num_rows for x in kept) >= batch_rows and not kept[-1].column("base")[-1].as_py():
                     t = pa.Table.from_batches(kept).combine_chunks()
-                    base = base or prepared(t)
-                    yield from block(t, base)
+                    block = block or prepared(t)
+                    yield from answers(t, block)
                     kept = []
         if kept:
-            yield from block(pa.Table.from_batches(kept).combine_chunks(), base)
+            t = pa.Table.from_batches(kept).combine_chunks()
+            yield from answers(t, block or prepared(t))
 
     return run
 
 
-def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 128, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 20_000, spread: float = 1.35) -> DataFrame:
+def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = 3, ratio: float = 0.85, rerank: int = 32, cell_rows: int = 400, max_cells: int = 2048, sample_rows: int = 40_000, block_rows: int = 100_000, spread: float = 1.35) -> DataFrame:
     """Numbered keys (i, k, h), numbers in the order of keys, and (i, best): each key's nearest as (similarity, number)."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -307,7 +378,7 @@ def _nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", di
         group = _merged(index.centres, size, total, spread)
         blocks = np.maximum(1, -(-np.bincount(group, weights=size).astype(np.int64) // block_rows))
         routed = good.mapInArrow(_assign(index, dim, probes, ratio, group, blocks), _ASSIGNED).repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("base"))
-        lists = routed.mapInArrow(_search(index, dim, k + 1, rerank), out)
+        lists = routed.mapInArrow(_search(index, dim, k + 1, rerank, cell_rows), out)
     else:
         lists = df.sparkSession.createDataFrame([], out)
     members = written(good.select("h", "k").dropDuplicates(["k"]).sort("k").withColumn("i", F.monotonically_increasing_id()))
@@ -327,14 +398,15 @@ def nearest(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
     """(key, near, similarity, rank): the k most similar other vectors of every vector, by cosine rounded to six decimals; of equally similar ones the smaller key comes first.
 
     The index is fitted on a sample of at most `sample_rows` (40,000) vectors, chosen by a hash of their keys; every vector is
-    indexed and every vector is a query. A query looks into its nearest cell and into up to
-    `probes` that are at least `ratio` as similar, scans their four-bit codes by
-    table look-ups, and scores the best `rerank` of each exactly in double precision, then all of the block where the
-    known error of some other row's code, along and across its vector, leaves room for a score as good. Cells beyond `block_rows` are cut
-    into blocks that are searched apart. Cells that split one crowd are joined first: with its members' distances from
-    the centres at most `spread` times (squared) those from their own, they hold one another's neighbours. A crowd costs
-    the square of its size. Equal vectors are searched once: their keys meet by the vector's hash, of which
-    the k + 1 smallest can be anyone's neighbours. Recall is measured in the tests against brute force.
+    indexed and every vector is a query. A query looks into its nearest cell and into up to `probes` that are at least
+    `ratio` as similar, scans their four-bit codes by table look-ups, and scores the best `rerank` exactly in double
+    precision, then all of the cell where the known error of some other row's code, along and across its vector, leaves
+    room for a score as good. There are n / `cell_rows` cells, `max_cells` at most; beyond, each cell is cut again where
+    it is searched (see Block), so that a query's work hardly grows. Cells beyond `block_rows` are cut into blocks that
+    are searched apart. Cells that split one crowd are joined first: with its members' distances from the centres at most
+    `spread` times (squared) those from their own, they hold one another's neighbours. A crowd costs the square of its
+    size. Equal vectors are searched once: their keys meet by the vector's hash, of which the k + 1 smallest can be
+    anyone's neighbours. Recall is measured in the tests against brute force.
 
     Vectors count that have `dim` finite numbers, not all zero; null, short, long and other vectors and null keys have
     no rows. Each key counts once. Other columns are ignored. Fewer than k other vectors give fewer rows, an empty table

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from foliolens.llm.neighbours import Index, nearest, nearest_pairs
+from foliolens.llm.neighbours import Block, Index, nearest, nearest_pairs
 
 SCHEMA = "chunk_id string, embedding array<float>, near string, h long"
 
@@ -99,3 +99,33 @@ def test_more_equal_and_near_equal_rows_than_are_reranked(rows):
     fine = g.normal(size=64) + 0.1 * g.normal(size=(1000, 64))
     data = [(f"f{i:04d}", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate([*fine, *g.normal(size=(1000, 64))])]
     assert recall(rows, data, [c for c, *_ in data[:1000]], cell_rows=2000) >= 0.99
+
+
+def test_work_of_a_query_grows_less_than_blocks():
+    """Codes looked at for a query in a block of 4,000 rows and in one ten times as large, of groups of 20; recall of both."""
+    g = np.random.default_rng(10)
+    looked = []
+    for n in (4_000, 40_000):
+        x = np.repeat(g.normal(size=(n // 20, 64)), 20, 0) + 0.5 * g.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index = Index(x[:3000].astype(np.float32), 8)
+        block = Block(index, x, index.encode(x.astype(np.float32)), np.arange(n), 5, 32, 400)
+        q = np.arange(0, n, n // 200)
+        s, k = block.search(x[q], q)
+        looked.append(block.scanned / len(q))
+        sim = x[q] @ x.T
+        sim[np.arange(len(q)), q] = -2
+        want = np.argpartition(-sim, 5, 1)[:, :5]
+        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(k.tolist(), want.tolist())]) >= 0.95
+        assert len(block.cells) == n // 200
+    assert looked[1] < 4 * looked[0] and looked[1] < 6_000, looked
+    crowd = g.normal(size=64) / 8 + 0.02 * g.normal(size=(2_000, 64))  # neighbours lie in any cell: all are searched
+    crowd /= np.linalg.norm(crowd, axis=1)[:, None]
+    assert len(Block(index, crowd, index.encode(crowd.astype(np.float32)), np.arange(2_000), 5, 32, 400).cells) == 1
+
+
+def test_cells_cut_again(rows):
+    g = np.random.default_rng(11)
+    x = (g.normal(size=(150, 1, 64)) + 0.4 * g.normal(size=(150, 20, 64))).reshape(-1, 64)
+    data = [(f"{i * 7919 % 3000:05d}", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate(x)]
+    assert recall(rows, data, [c for c, *_ in data], cell_rows=100, max_cells=2) >= 0.9
