@@ -169,7 +169,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = ids[:-1] << 32 | ids[1:]
         pairs, many = np.unique(pairs[(ids[:-1] >= 0) & (ids[1:] >= 0)], return_counts=True) if len(ids) else (ids, ids)
         extra = [*compounds.items()]
-        noisy = [(w, n) for w, n in seen.items() if len(w) <= 40]
+        noisy = [(w, n) for w, n in seen.items() if len(w) <= 60]
         first = [*names.tolist(), *(w for w, _ in extra), *(w for w, _ in noisy), *names[pairs >> 32].tolist()]
         second = [None] * (len(names) + len(extra) + len(noisy)) + names[pairs & 0xFFFFFFFF].tolist()
         own = [*count.tolist(), *(n for _, n in extra), *([0] * len(noisy)), *many.tolist()]
@@ -203,8 +203,8 @@ def _scan(slots: np.ndarray):
     """Rows of frame lines, of words that may be misread with their neighbours, and of words cut at line ends."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["what", "id", "line", "pos", "word", "prev", "next", "first", "second", "mark"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
+        names = ["what", "id", "line", "pos", "word", "prev", "next", "first", "second", "mark", "link"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.int32()]
         memo: dict[str, bool] = {}
 
         def odd(w: str) -> bool:
@@ -220,17 +220,19 @@ def _scan(slots: np.ndarray):
             for i, _, text, title, first, last, series in zip(*(b.column(k).to_pylist() for k in range(7))):
                 marks, lines, body = _parsed(text, title, first, last, set(series or ()))
                 if "header" in marks:
-                    rows.append(("header", i, *[None] * 8))
+                    rows.append(("header", i, *[None] * 9))
                 if any(lines[n][3] and k in ("header", "number") for n, k in enumerate(marks)):
-                    rows.append(("page_number", i, *[None] * 8))
+                    rows.append(("page_number", i, *[None] * 9))
                 words, cuts = _tokens(body)
-                whole = {(line, (x + y).lower()) for line, x, y, _ in cuts}
+                whole = {(line, (x + y).lower()): (x.lower(), y.lower(), mark) for line, x, y, mark in cuts}
+                open_ = [(2 < len(w) <= 60 or len(w) == 2 and w.isalpha()) and (odd(w) or (line, w) in whole) for line, _, _, w in words]
                 for n, (line, start, _, w) in enumerate(words):
-                    if 2 < len(w) <= 40 and (odd(w) or (line, w) in whole):
-                        rows.append(("word", i, line, start, w, words[n - 1][3] if n else "", words[n + 1][3] if n + 1 < len(words) else "", None, None, None))
-                for line, x, y, mark in cuts:
-                    rows.append(("cut", i, line, None, (x + y).lower(), None, None, x.lower(), y.lower(), mark))
-            cols = list(zip(*rows)) if rows else [[]] * 10
+                    if open_[n]:
+                        cut = whole.get((line, w), (None, None, None))
+                        after = words[n + 1] if n + 1 < len(words) else (-1, -1, -1, "")
+                        link = after[1] if n + 1 < len(words) and open_[n + 1] and after[0] == line else -1
+                        rows.append(("word", i, line, start, w, words[n - 1][3] if n else "", after[3], *cut, link))
+            cols = list(zip(*rows)) if rows else [[]] * 11
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
 
     return run
@@ -243,84 +245,127 @@ def _guess(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()))], ["word", "cand", "channel"])
 
 
-def viterbi(lattice: list[tuple[int, str, dict[str, tuple[float, float, float]]]]) -> list[str]:
-    """Best candidate of each open word of a line: (pos, word after it as read, candidate -> (own score, score of the pair with the word before, with the word after)).
+#: Weight of the words' own counts against those of pairs (pseudo-counts), and counts of words that no clean text has.
+BACKOFF = 200.0
+UNSEEN = 5e-4  # of letters alone
+UNSEEN_SIGNS = 1e-6
+UNSEEN_COMPOUND = 5e-3  # of two known words
 
-    Where two open words stand side by side, the pair scores of the later one count only for the word as read.
+
+def viterbi(lattice: list[dict], links: dict[tuple[int, str, str], int], total: float) -> list[str]:
+    """Best candidate of each open word of a line, in order.
+
+    A word of the lattice: pos, link (pos of the open word right after it, else -1), n_next (count of the word after it),
+    c: candidate -> (log channel probability, count, count with the word before as read, with the word after as read).
+    links: counts of candidates of linked words side by side, by the first one's pos. Scores are log channel
+    probabilities and log probabilities of each word after the one before: (pair + BACKOFF x own share) / (count of the
+    word before + BACKOFF).
     """
     paths: dict[str, tuple[float, list[str]]] = {"": (0.0, [])}
     before = None
-    for pos, after, cands in lattice:
+    for x in lattice:
+        linked = before is not None and before["link"] == x["pos"]
         step = {}
-        for c, (own, left, right) in cands.items():
-            step[c] = max(((s + own + (left if not p or p[-1] == before else 0.0) + right, [*p, c]) for s, p in paths.values()), key=lambda x: x[0])
-        paths, before = step, after
-    return max(paths.values(), key=lambda x: x[0])[1]
+        for c, (channel, n, left, right) in x["c"].items():
+            own = BACKOFF * n / total
+            leave = 0.0 if x["link"] >= 0 else math.log((right + BACKOFF * (x["n_next"] + UNSEEN) / total) / (n + BACKOFF))
+            if linked:
+                pair = lambda a: links.get((before["pos"], a, c), left if a == before["word"] else before["c"][a][3] if c == x["word"] else 0)  # noqa: B023, E731
+                s, p = max(((s + math.log((pair(a) + own) / (before["c"][a][1] + BACKOFF)), p) for a, (s, p) in paths.items()), key=lambda y: y[0])
+            else:
+                s, p = max(paths.values(), key=lambda y: y[0])
+                s += math.log(left + own)
+            step[c] = (s + channel + leave, [*p, c])
+        paths, before = step, x
+    return max(paths.values(), key=lambda y: y[0])[1]
 
 
-def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one line's open words to the words chosen."""
-    for b in batches:
-        rows = []
-        for i, line, found in zip(*(b.column(k).to_pylist() for k in range(3))):
-            by: dict[int, dict] = {}
-            for x in found:
-                slot = by.setdefault(x["pos"], {"word": x["word"], "next": x["next"], "c": {x["word"]: (math.log(x["self"] + (5e-4 if x["word"].isalpha() else 1e-6)), 0.0, 0.0)}})
-                slot["c"][x["cand"]] = (math.log(x["n"]) + x["channel"], math.log1p(x["left"]), math.log1p(x["right"]))
-            order = sorted(by)
-            best = viterbi([(p, by[p]["next"], by[p]["c"]) for p in order])
-            rows += [(i, line, p, by[p]["word"], w) for p, w in zip(order, best) if w != by[p]["word"]]
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "line", "pos", "word", "right"])
+def _decode(total: float):
+    """Rows of one line's open words to the words chosen, with what they were cut into; unchanged words that were not cut have no row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, line, found, joined in zip(*(b.column(k).to_pylist() for k in range(4))):
+                by: dict[int, dict] = {}
+                for x in found:
+                    w = x["word"]
+                    slot = by.setdefault(x["pos"], {k: x[k] for k in ("pos", "link", "word", "first", "second")} | {"n_next": x["n_next"], "c": {w: (0.0, UNSEEN if w.isalpha() else UNSEEN_SIGNS, 0, 0)}})
+                    if x["cand"] is not None:
+                        seen = 0.0 if x["cand"] != w else UNSEEN if w.isalpha() else UNSEEN_SIGNS
+                        slot["c"][x["cand"]] = (x["channel"], x["n"] + seen, x["left"], x["right"])
+                    if x["mark"] in ("-", "‐"):  # the compound with its own hyphen
+                        slot["c"][f"{x['first']}-{x['second']}"] = (0.0, x["n_compound"] + (UNSEEN_COMPOUND if x["parts"] and not x["n_compound"] else UNSEEN_SIGNS), 0, 0)
+                lattice = [by[p] for p in sorted(by)]
+                best = viterbi(lattice, {(x["pos"], x["a"], x["b"]): x["n"] for x in joined or ()}, total)
+                for x, w in zip(lattice, best):
+                    if x["first"] is not None or w != x["word"]:
+                        rows.append((i, line, x["pos"], x["word"], w, x["first"] is not None, x["first"] is not None and w == f"{x['first']}-{x['second']}"))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()))], ["id", "line", "pos", "word", "right", "cut", "compound"])
+
+    return run
 
 
 class Repair:
     """Everything found about the texts of scanned documents."""
 
-    def __init__(self, chunks: DataFrame, scans: DataFrame, least: int = 2, series_docs: int = 3):
+    def __init__(self, chunks: DataFrame, scans: DataFrame, least: int = 2, series_docs: int = 3, real: float = 0.01):
         titles = F.broadcast(scans) if scans.count() <= 1_000_000 else scans
         rows = chunks.filter(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("doc_id", "chunk_id", "text", "page_start", "page_end")
-        joined = rows.join(titles, "doc_id", "left")
+        joined = written(rows.dropDuplicates(["chunk_id"]).join(titles, "doc_id", "left"))
         counts = written(joined.select("text", F.col("title").isNotNull().cast("int").alias("scan")).mapInArrow(_count, "a string, b string, clean long, n long"))
         sums = counts.groupBy("a", "b").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
         words = sums.filter("b is null").select(F.col("a").alias("cand"), "clean", "n")
         pairs = sums.filter("b is not null").select("a", "b", "n")
-        own = written(joined.filter("title is not null").select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("doc"), "text", "title", "page_start", "page_end").dropDuplicates(["id"]))
+        own = written(joined.filter("title is not null").select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("doc"), "text", "title", "page_start", "page_end"))
         lines = own.mapInArrow(_open_lines, "id string, doc string, line int, key string")
         lines = written(lines)
         series = lines.groupBy("key", "doc").agg(F.countDistinct("id").alias("k")).groupBy("key").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("docs"))
         series = series.filter((F.col("k") >= 2) | (F.col("docs") >= series_docs)).select("key")
         headers = lines.join(series, "key").groupBy("id").agg(F.collect_set("line").alias("series"))
         self.texts = own.join(headers, "id", "left")
-        # words that the clean texts do not have, what they may be, and what of that the corpus knows
-        known = words.select(F.col("cand").alias("word"), F.col("clean").alias("self"))
+        # words that the clean texts have less than twice, or so rarely that a usual word is as likely; and what they may be
+        known = words.select(F.col("cand").alias("word"), F.col("clean").alias("self"), "n")
 
         def fixes(strange):
             guesses = strange.select("word").mapInArrow(_guess, "word string, cand string, channel double")
-            return guesses.join(words, "cand").filter(F.col("clean") >= least).join(strange, "word").select("word", "cand", "channel", "self", F.col("clean").alias("n"))
+            found = guesses.join(words.select("cand", F.col("clean").alias("n")), "cand").filter(F.col("n") >= least).join(strange.select("word", "self"), "word")
+            return found.filter((F.col("self") < least) | (F.col("n") * F.exp("channel") >= real * F.col("self"))).select("word", "cand", "channel", "self", "n")
 
-        single = written(fixes(known.filter(F.col("self") < least)))
+        single = written(fixes(known.filter("n > self").drop("n")))
         slots = np.zeros(SLOTS, bool)
         slots[[r.s for r in single.select(F.expr(f"pmod(xxhash64(word), {SLOTS})").alias("s")).distinct().collect()]] = True  # at most SLOTS numbers
-        self.rows = written(self.texts.select("id", "doc", "text", "title", "page_start", "page_end", "series").mapInArrow(_scan(slots), "what string, id string, line int, pos int, word string, prev string, next string, first string, second string, mark string"))
-        glued = self.rows.filter("what = 'cut'").select("word").distinct().join(single.select("word").distinct(), "word", "left_anti")
-        glued = glued.join(known, "word", "left").fillna(0, ["self"]).filter(F.col("self") < least)
-        fixes = single.unionByName(fixes(glued))
-        seen = self.rows.filter("what = 'word'").join(fixes, "word").select("id", "line", "pos", "word", "prev", "next", "cand", "channel", "self", "n")
+        self.rows = written(self.texts.select("id", "doc", "text", "title", "page_start", "page_end", "series").mapInArrow(_scan(slots), "what string, id string, line int, pos int, word string, prev string, next string, first string, second string, mark string, link int"))
+        open_ = self.rows.filter("what = 'word'").drop("what")
+        glued = open_.filter("first is not null").select("word").distinct().join(single.select("word").distinct(), "word", "left_anti")
+        glued = glued.join(known.drop("n"), "word", "left").fillna(0, ["self"])
+        all_ = single.unionByName(fixes(glued))
+        same = single.select("word", "self").unionByName(glued).filter("self > 0").distinct()
+        all_ = all_.unionByName(same.select("word", F.col("word").alias("cand"), F.lit(0.0).alias("channel"), "self", F.col("self").alias("n")))
+        fixed = open_.join(all_, "word")
+        # cut words without any candidate stay open for their compounds
+        seen = fixed.unionByName(open_.filter("first is not null").join(all_.select("word").distinct(), "word", "left_anti"), allowMissingColumns=True)
+        count = lambda name: words.select(F.col("cand").alias(name), F.col("clean").alias("n_" + name))
+        seen = seen.join(count("next"), "next", "left").fillna(0, ["n_next"])
         left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("cand"), F.col("n").alias("left"))
         right = pairs.select(F.col("a").alias("cand"), F.col("b").alias("next"), F.col("n").alias("right"))
         scored = seen.join(left, ["prev", "cand"], "left").join(right, ["cand", "next"], "left").fillna(0, ["left", "right"])
-        lattice = scored.groupBy("id", "line").agg(F.collect_list(F.struct("pos", "word", "next", "cand", "channel", "self", "n", "left", "right")).alias("x"))
-        self.misread = written(lattice.mapInArrow(_decode, "id string, line int, pos int, word string, right string"))
-        # words cut in two: the whole word against the compound with its own hyphen
-        cuts = self.rows.filter("what = 'cut'").select("id", "line", "word", "first", "second", "mark")
-        fixed = self.misread.select("id", "line", "word", "right").distinct()
-        whole = cuts.join(fixed, ["id", "line", "word"], "left").withColumn("whole", F.coalesce("right", "word"))
-        count = lambda name: words.select(F.col("cand").alias(name), F.col("clean").alias("n_" + name))
-        whole = whole.withColumn("compound", F.concat_ws("-", "first", "second")).join(count("whole"), "whole", "left").join(count("compound"), "compound", "left").join(count("first"), "first", "left").join(count("second"), "second", "left").fillna(0)
+        # the compound with its own hyphen beside the whole word
+        cuts = open_.filter("first is not null and mark in ('-', '‐')").select("first", "second").distinct().withColumn("compound", F.concat_ws("-", "first", "second"))
+        cuts = cuts.join(count("compound"), "compound", "left").join(count("first"), "first", "left").join(count("second"), "second", "left").fillna(0)
         parts = (F.col("n_first") >= least) & (F.col("n_second") >= least) & (F.length("first") > 2) & (F.length("second") > 2)
-        real = F.when(~F.col("mark").isin("-", "‐"), True).when(F.col("n_compound") + F.col("n_whole") > 0, F.col("n_whole") >= F.col("n_compound")).otherwise(~parts)
-        self.cuts = whole.filter(real).select("id", "line", "whole")
+        scored = scored.join(cuts.select("first", "second", "n_compound", parts.alias("parts")), ["first", "second"], "left").fillna(0, ["n_compound"])
+        # candidates of open words side by side
+        one = fixed.filter("link >= 0").select("id", "line", "pos", F.col("link").alias("at"), F.col("cand").alias("a"))
+        two = fixed.select("id", "line", F.col("pos").alias("at"), F.col("cand").alias("b"))
+        links = one.join(two, ["id", "line", "at"]).join(pairs, ["a", "b"]).groupBy("id", "line").agg(F.collect_list(F.struct("pos", "a", "b", "n")).alias("links"))
+        fields = ("pos", "link", "word", "cand", "channel", "n", "n_next", "left", "right", "first", "second", "mark", "n_compound", "parts")
+        lattice = scored.groupBy("id", "line").agg(F.collect_list(F.struct(*fields)).alias("x")).join(links, ["id", "line"], "left").select("id", "line", "x", "links")
+        total = float(max(1, words.agg(F.sum("clean")).first()[0] or 0))
+        decoded = written(lattice.mapInArrow(_decode(total), "id string, line int, pos int, word string, right string, cut boolean, compound boolean"))
+        self.misread = decoded.filter("right <> word and not compound").select("id", "line", "pos", "word", "right")
+        self.cuts = decoded.filter("cut and not compound").select("id", "line", F.col("right").alias("whole"))
 
     def defects(self) -> DataFrame:
         frame = self.rows.filter("what in ('header', 'page_number')").select("id", F.col("what").alias("defect"), F.lit("").alias("word"))

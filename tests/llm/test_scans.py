@@ -52,5 +52,22 @@ def test_odd_input(rows):
 
 def test_parts():
     assert "during" in candidates("diiring") and "closed" in candidates("clo5ed") and "at" not in candidates("at")
-    one = {"from": (-1.0, 0.0, 0.0), "form": (-1.2, 0.0, 3.0)}
-    assert viterbi([(0, "x", one)]) == ["form"]
+    word = lambda pos, w, c, link=-1: {"pos": pos, "link": link, "word": w, "n_next": 9, "c": c}
+    one = word(0, "farm", {"farm": (0.0, 5, 0, 0), "form": (-3.0, 50, 0, 40)})
+    assert viterbi([one], {}, 1000.0) == ["form"]
+    assert viterbi([word(0, "farm", {"farm": (0.0, 5, 4, 4), "form": (-3.0, 50, 0, 0)})], {}, 1000.0) == ["farm"]
+    # alone each of two neighbours would stay; their candidates are known side by side
+    two = [word(0, "blaek", {"blaek": (0.0, 0.01, 0, 0), "black": (-6.0, 20, 0, 0), "bleak": (-6.0, 20, 0, 0)}, 6), word(6, "bax", {"bax": (0.0, 0.01, 0, 0), "box": (-6.0, 30, 0, 0)})]
+    assert viterbi(two, {(0, "black", "box"): 15}, 1000.0) == ["black", "box"]
+    assert viterbi(two, {(0, "bleak", "box"): 15}, 1000.0) == ["bleak", "box"]
+
+
+def test_neighbours_and_real_words(rows):
+    """Two misread words side by side, and a misreading that is a word of the clean texts."""
+    clean = [("c", f"c{i}", "They sent the form to the bureau. Please sign the form today. A small farm lies north. The farm is old. Some bulky modern lamps hang there.", -1, -1, "t", 1) for i in range(200)]
+    bad = [("s", "s1", "They sent the farm to the bureau and bu1ky modem lamps.\nA small farm lies north.", 1, 1, "t", 1), ("s", "s2", "Some bulhy modcrn lamps hang there.", 1, 1, "t", 1)]
+    clean += [("c", "c99", "The modem is new. A modem hums.", -1, -1, "t", 1)]
+    catalog = [("s", "Other.tif", "image/tiff", "x")]
+    got = {tuple(r) for r in scan_defects(rows(clean + bad, CHUNK), rows(catalog, CAT)).collect()}
+    assert {("s1", "misread", "bulky"), ("s1", "misread", "modern"), ("s2", "misread", "modern")} <= got
+    assert not any(w in ("farm", "north", "small") for _, _, w in got)
