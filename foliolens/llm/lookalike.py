@@ -155,6 +155,16 @@ def look_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("string"), text).mapInArrow(run, "key string, look binary, raw binary").dropDuplicates(["key"])
 
 
+def look_classes(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, class_id, members, links) of every key with a non-blank text: the smallest key that looks the same, how many
+    keys do, and how many of them are spelt otherwise. One row a key however large the class. As same_look_pairs."""
+    keys = written(look_keys(df, key, text))
+    spelt = keys.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("k"))
+    looks = spelt.groupBy("look").agg(F.sum("m").alias("members"), F.min("k").alias("class_id"))
+    counts = spelt.join(looks, "look").select("look", "raw", "class_id", "members", (F.col("members") - F.col("m")).alias("links"))
+    return keys.join(counts, ["look", "raw"]).select(F.col("key").alias(key), "class_id", "members", "links")
+
+
 def same_look_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text", block: int = 5000) -> DataFrame:
     """Pairs (key_a, key_b), smaller first, of keys whose texts look the same but differ in code points.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,11 @@ def counter(path: str):
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, tokens) of each text; null and empty texts have 0. Each key counts once, null keys have no rows."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # only the driver needs the path
+    name = os.path.basename(tokenizer)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count = counter(SparkFiles.get(name))
         for b in batches:
             n = pa.array([count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], [key, "tokens"])
@@ -175,3 +180,13 @@ def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """(limit_id, containers, tokens, fill): how much of the containers' room the texts take."""
     sums = packed.groupBy("limit_id").agg((F.max("container") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
     return sums.join(F.broadcast(limits.select("limit_id", "capacity_tokens")), "limit_id").select("limit_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def broken_rules(packed: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(limit_id, texts, overfull, cut): texts placed, containers beyond their capacity, and texts cut without need; the last two should be 0."""
+    caps = F.broadcast(limits.select("limit_id", "capacity_tokens"))
+    texts = packed.groupBy("limit_id", key).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).join(caps, "limit_id")
+    texts = texts.groupBy("limit_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("cut"))
+    full = packed.groupBy("limit_id", "container").agg(F.max(F.col("start_token") + F.col("tokens")).alias("end")).join(caps, "limit_id")
+    full = full.groupBy("limit_id").agg(F.count_if(F.col("end") > F.col("capacity_tokens")).alias("overfull"))
+    return texts.join(full, "limit_id").select("limit_id", "texts", "overfull", "cut")

@@ -27,6 +27,11 @@ def p3_found(spark, base):
     return lookalike.same_look_pairs(_table(spark, base, "chunks"))
 
 
+def p3_classes(spark, base):
+    """Each chunk's class of equal look."""
+    return lookalike.look_classes(_table(spark, base, "chunks"))
+
+
 def p3_texts(spark, base):
     """The consistent form of each chunk's text."""
     chunks = _table(spark, base, "chunks").dropDuplicates(["chunk_id"])
@@ -57,6 +62,20 @@ def p5_found(spark, base):
     return sentences.sentences(chunks.join(_sized(_scans(spark, base)), "doc_id", "left_anti"))
 
 
+def p5_cover(spark, base):
+    """Letters and digits of each chunk that lie in its sentences: all of them."""
+    chunks = _table(spark, base, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    within = F.regexp_replace(F.substring(F.col("text"), F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start")), r"[^\p{L}\p{N}]+", "")
+    rows = p5_found(spark, base).join(chunks, "chunk_id").groupBy("chunk_id").agg(F.sum(F.length(within)).alias("letters"))
+    return rows.filter("letters > 0")
+
+
+P5_COVER = r"""
+WITH c AS (SELECT DISTINCT doc_id, chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)
+SELECT chunk_id, length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS letters FROM c
+WHERE (doc_id IS NULL OR doc_id NOT IN (SELECT id FROM doc_catalog WHERE mime = 'image/tiff' AND id IS NOT NULL)) AND length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) > 0"""
+
+
 def p6_packing(spark, base):
     """Container and place of every text under every limit."""
     return packing.pack(_table(spark, base, "documents"), _table(spark, base, "pack_limits"))
@@ -67,6 +86,14 @@ def p6_fill(spark, base):
     return packing.fill(p6_packing(spark, base), _table(spark, base, "pack_limits"))
 
 
+def p6_rules(spark, base):
+    """What the packing must keep under each limit: every text placed, no container overfull, nothing cut without need."""
+    return packing.broken_rules(p6_packing(spark, base), _table(spark, base, "pack_limits"))
+
+
+P6_RULES = "SELECT limit_id, (SELECT count(DISTINCT doc_id) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut FROM pack_limits"
+
+
 def p7_found(spark, base):
     return leakage.leaks(_table(spark, base, "documents"), _table(spark, base, "eval_items"))
 
@@ -108,11 +135,14 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_texts": p3_texts,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p5_found": p5_found,
+    "p5_cover": p5_cover,
     "p6_packing": p6_packing,
+    "p6_rules": p6_rules,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
@@ -120,4 +150,4 @@ QUERIES = {
     "p8_counts": p8_counts,
     "p8_stats": p8_stats,
 }
-SQL = {"p8_counts": P8_COUNTS}
+SQL = {"p5_cover": P5_COVER, "p6_rules": P6_RULES, "p8_counts": P8_COUNTS}

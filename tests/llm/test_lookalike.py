@@ -2,7 +2,7 @@
 
 import itertools
 
-from foliolens.llm.lookalike import Decoder, consistent_text, same_look_pairs
+from foliolens.llm.lookalike import Decoder, consistent_text, look_classes, same_look_pairs
 
 SCHEMA = "chunk_id string, text string, look string, n int"
 FILL = [(f"f{i}", t, "x", 1) for i, t in enumerate(["the cope spare house dose was there", "Это русский текст с ростом и сорока осами", "η τουρμπίνα ελέγχθηκε νωρίς"] * 5)]
@@ -42,5 +42,7 @@ def test_spelling_follows_script(rows):
 
 def test_hot_group(rows):
     data = [(f"k{i:05d}", "same text here" if i % 2 else "same tехt here", "x", 1) for i in range(400)]
+    classes = look_classes(rows([*data, data[0], ("z", None, "x", 1)], SCHEMA)).collect()
+    assert {tuple(r) for r in classes} == {(k, "k00000", 400, 200) for k, *_ in data} and len(classes) == 400
     got = {tuple(r) for r in same_look_pairs(rows(data, SCHEMA), block=50).collect()}
     assert got == {(a[0], b[0]) for a, b in itertools.combinations(data, 2) if a[1] != b[1]}

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from foliolens.llm.packing import PATTERN, TOKENIZER, counter, fill, pack, shortest_pack_first, token_counts
+from foliolens.llm.packing import PATTERN, TOKENIZER, broken_rules, counter, fill, pack, shortest_pack_first, token_counts
 
 LIMITS = "limit_id int, purpose string, capacity_tokens int, separator_tokens int"
 
@@ -49,6 +49,7 @@ def test_pack(rows):
             assert at - gap <= cap
         assert sum(sizes.values()) / (len(boxes) * cap) > (0.95 if gap == 0 else 0.8)
     assert {x.limit_id for x in packed} == {1, 2} and {x.limit_id for x in fill(pack(docs, limits), limits).collect()} == {1, 2}
+    assert {(x.limit_id, x.texts, x.overfull, x.cut) for x in broken_rules(pack(docs, limits), limits).collect()} == {(1, 303, 0, 0), (2, 303, 0, 0)}
     assert pack(rows([], "doc_id long, text string"), limits).count() == 0
 
 
