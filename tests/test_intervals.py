@@ -27,10 +27,11 @@ def brute(rows):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, *splits):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in periods_and_gaps(df, ["query_id", "doc_id"]).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    for split in (1_000_000, *splits):
+        got = [tuple(r) for r in periods_and_gaps(df, ["query_id", "doc_id"], split_rows=split).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows), split
     assert {(*r,) for r in coalesced(df, ["query_id", "doc_id"]).collect()} == {(q, d, a, b) for q, d, k, a, b in brute(rows) if k == "period"}
 
 
@@ -63,7 +64,18 @@ def test_random_hot_key_and_nulls(spark):
         q, d = (1, "hot") if hot else (r.choice([None, 1, 2, 3, 4]), r.choice([None, "a", "b", "hot"]))
         a = r.randrange(-1, 60000)
         rows.append((q, d, r.choice([a, a, a, None]), a + r.randrange(-1, 4), "k", 1))
-    check(spark, rows + rows[:100])
+    check(spark, rows + rows[:100], 2000)
+
+
+def test_keys_in_ranges(spark):
+    """Keys cut at their ranges' ends: short, long and nested intervals, some across many ranges, and ranges without any row."""
+    r = random.Random(6)
+    rows = []
+    for q in range(6):
+        for _ in range(80):
+            a = r.choice([r.randrange(1, 400), r.randrange(2000, 2200)])
+            rows.append((q, "d", a, a + r.choice([0, 1, 2, 5, 1 if q < 3 else 300]), "k", 1))
+    check(spark, rows + [(9, "d", 2147483000 + i * 7, min(2147483000 + i * 7 + 3, 2147483647), "k", 1) for i in range(92)], 5, 30)
 
 
 def test_empty(spark):
