@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ CONFUSIONS = {
     ("é", "6"): 0.0005, ("a", "o"): 0.0005, ("n", "u"): 0.0005, ("u", "n"): 0.0005, ("l", "I"): 0.001, ("u", "v"): 0.0005,
 }
 HYPHENS = "-‐¬­"
+_HYPHEN_SET = frozenset(HYPHENS)
 _SIGNS = "0123456789@!$|"
 _WORD = re.compile(r"[^\W\d_]+")
 _NOISY = re.compile(rf"[^\W_]*[^\W\d_](?:[^\W_]|[@!$|](?=[^\W\d_]))*")
@@ -102,7 +104,7 @@ def _tokens(lines: list[tuple[int, str]]):
     carried = 0
     for n, (i, line) in enumerate(lines):
         stop = len(line)
-        m = _EDGE.search(line)
+        m = _EDGE.search(line) if line.rstrip()[-1:] in _HYPHEN_SET else None
         if m and n + 1 < len(lines) and (h := _HEAD.match(lines[n + 1][1])):
             second = h[1]
             mark = line.rstrip()[-1]
@@ -144,36 +146,55 @@ def candidates(word: str) -> dict[str, float]:
     return {c: p for c, p in out.items() if c.isalpha() and c != word}
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point stands in words, as in _WORD; the border between texts (1) is a word of its own."""
+    out = np.zeros(0x110000, bool)
+    out[:0x20000] = [_WORD.match(chr(o)) is not None for o in range(0x20000)]
+    out[0x20000:0x32000] = True  # further ideographs
+    out[1] = True
+    return out
+
+
+def _runs_of_words(texts: list[str]) -> list[str]:
+    """Words of texts in lower case, with a border after each text."""
+    codes = np.frombuffer("".join(f"{t.lower()} \x01 " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters()[codes], codes, 32).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").split()
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words, compounds and neighbouring words of a batch: (a, b, clean, n); b is null for words alone. Pairs are counted in clean texts."""
     for b in batches:
-        number: dict[str, int] = {}
-        clean: list[int] = []
+        clean: list[str] = []
+        noisy, joined = [], []
         seen: Counter = Counter()
         compounds: Counter = Counter()
-        add = number.setdefault
         for text, scan in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
-            text = text.lower()
             if scan:
-                seen.update(_NOISY.findall(text))
+                noisy += text.lower().split()
                 continue
-            clean += [add(w, len(number)) for w in _WORD.findall(text)]
-            clean.append(-1)
+            clean.append(text)
             if "-" in text or "‐" in text:
-                compounds.update(w.replace("‐", "-") for w in _COMPOUND.findall(text))
-        ids = np.array(clean, np.int64)
-        names = np.array(list(number), object)
-        count = np.bincount(ids[ids >= 0], minlength=len(names)) if len(ids) else np.zeros(0, np.int64)
-        pairs = ids[:-1] << 32 | ids[1:]
-        pairs, many = np.unique(pairs[(ids[:-1] >= 0) & (ids[1:] >= 0)], return_counts=True) if len(ids) else (ids, ids)
+                joined += [w for w in text.lower().split() if "-" in w or "‐" in w]
+        for found, pattern, tokens in ((seen, _NOISY, noisy), (compounds, _COMPOUND, joined)):
+            for token, n in Counter(tokens).items():  # no match has a blank inside
+                for w in pattern.findall(token):
+                    found[w.replace("‐", "-")] += n
+        coded = pa.array(_runs_of_words(clean), pa.string()).dictionary_encode()
+        ids, names = coded.indices.to_numpy().astype(np.int64), np.array(coded.dictionary.to_pylist(), object)
+        border = np.flatnonzero(names == "\x01")
+        count = np.bincount(ids, minlength=len(names))
+        inner = ~np.isin(ids, border)
+        pairs, many = np.unique((ids[:-1] << 32 | ids[1:])[inner[:-1] & inner[1:]], return_counts=True)
         extra = [*compounds.items()]
-        noisy = [(w, n) for w, n in seen.items() if len(w) <= 60]
-        first = [*names.tolist(), *(w for w, _ in extra), *(w for w, _ in noisy), *names[pairs >> 32].tolist()]
-        second = [None] * (len(names) + len(extra) + len(noisy)) + names[pairs & 0xFFFFFFFF].tolist()
-        own = [*count.tolist(), *(n for _, n in extra), *([0] * len(noisy)), *many.tolist()]
-        whole = [*count.tolist(), *(n for _, n in extra), *(n for _, n in noisy), *many.tolist()]
+        strange = [(w, n) for w, n in seen.items() if len(w) <= 60]
+        real = np.flatnonzero(names != "\x01")
+        first = [*names[real].tolist(), *(w for w, _ in extra), *(w for w, _ in strange), *names[pairs >> 32].tolist()]
+        second = [None] * (len(real) + len(extra) + len(strange)) + names[pairs & 0xFFFFFFFF].tolist()
+        own = [*count[real].tolist(), *(n for _, n in extra), *([0] * len(strange)), *many.tolist()]
+        whole = [*count[real].tolist(), *(n for _, n in extra), *(n for _, n in strange), *many.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(own, pa.int64()), pa.array(whole, pa.int64())], ["a", "b", "clean", "n"])
 
 
@@ -313,12 +334,12 @@ class Repair:
     def __init__(self, chunks: DataFrame, scans: DataFrame, least: int = 2, series_docs: int = 3, real: float = 0.01):
         titles = F.broadcast(scans) if scans.count() <= 1_000_000 else scans
         rows = chunks.filter(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("doc_id", "chunk_id", "text", "page_start", "page_end")
-        joined = written(rows.dropDuplicates(["chunk_id"]).join(titles, "doc_id", "left"))
+        joined = rows.dropDuplicates(["chunk_id"]).join(titles, "doc_id", "left")
         counts = written(joined.select("text", F.col("title").isNotNull().cast("int").alias("scan")).mapInArrow(_count, "a string, b string, clean long, n long"))
         sums = counts.groupBy("a", "b").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
         words = sums.filter("b is null").select(F.col("a").alias("cand"), "clean", "n")
         pairs = sums.filter("b is not null").select("a", "b", "n")
-        own = written(joined.filter("title is not null").select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("doc"), "text", "title", "page_start", "page_end"))
+        own = written(rows.join(titles, "doc_id").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("doc"), "text", "title", "page_start", "page_end"))
         lines = own.mapInArrow(_open_lines, "id string, doc string, line int, key string")
         lines = written(lines)
         series = lines.groupBy("key", "doc").agg(F.countDistinct("id").alias("k")).groupBy("key").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("docs"))
