@@ -194,10 +194,12 @@ def _vectors(spark, base):
 
 @query("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v)
-SELECT vec_id, round(n, 4) AS norm, list_transform(v, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END, 4) + 0.0) AS unit FROM n""")
+SELECT vec_id, round(n, 4) AS norm, CAST(dim AS INTEGER) AS dim, round(CASE WHEN n > 0 THEN x / n ELSE x END, 4) + 0.0 AS value FROM (SELECT vec_id, n, unnest(v) AS x, unnest(range(0, len(v))) AS dim FROM n)""")
 def normalized_vectors(spark, base):
+    """Length of each vector, and its places at length one."""
     v = F.col("embedding")
-    return _vectors(spark, base).select("vec_id", F.round(l2_norm(v), 4).alias("norm"), F.transform(l2_normalize(v), lambda x: F.round(x, 4) + F.lit(0.0)).alias("unit"))
+    rows = _vectors(spark, base).select("vec_id", F.round(l2_norm(v), 4).alias("norm"), F.posexplode(l2_normalize(v)).alias("dim", "x"))
+    return rows.select("vec_id", "norm", "dim", (F.round("x", 4) + F.lit(0.0)).alias("value"))
 
 
 @query("""
