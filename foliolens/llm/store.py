@@ -1,26 +1,5 @@
 """Tables written once and read again, in the folder that the cluster shares."""
 
-from __future__ import annotations
+from foliolens.sources.tables import written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The table written to the session's shared checkpoint folder and read from there: its work is done once.
-
-    Only a session on this machine may have no folder set, as in tests, and gets a temporary one; on a cluster that raises.
-    The tables stay until that folder is cleared.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["written"]
