@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: First and last code points of scripts' letters.
 SCRIPTS = {"ru": (0x400, 0x52F), "el": (0x370, 0x3FF), "ar": (0x600, 0x77F), "hi": (0x900, 0x97F), "th": (0xE00, 0xE7F), "ko": (0xAC00, 0xD7A3), "ja": (0x3040, 0x30FF), "zh": (0x3400, 0x9FFF)}
 PACKED = ("th", "zh", "ja", "ko")  # scripts whose function words stand inside runs of letters
@@ -326,27 +328,23 @@ _OWN_LETTERS = ("junk encoded", "junk hexadecimal", "junk keystrokes", "junk rep
 
 
 class Profiles:
-    """Mean distributions of prose by language and of lists, tables and junk by form, fitted from plain blocks.
+    """Mean distributions of prose by language and of lists, tables and junk by form.
 
     A block's divergence from a profile is that of its form, and that of its letters from those of the profile's
     language; lists, tables and junk of words may be of any language, so for them the nearest one counts.
     """
 
-    def __init__(self, parts: dict[str, np.ndarray], size: np.ndarray, listed: Listed, rounds: int = 2, least: int = 2):
-        form, letters = _distributions(parts)
-        names = _seeds(parts, size, listed)
-        plain = names != ""
-        self.names = []
-        weight = np.minimum(size, 2000).astype(np.float32)
-        for r in range(rounds):
-            kept = [str(k) for k, m in zip(*np.unique(names.astype(str), return_counts=True)) if k and m >= least]
-            if not kept:
-                break
-            mean = lambda x: np.stack([(x[names == k] * weight[names == k, None]).sum(0) / weight[names == k].sum() for k in kept])  # noqa: B023, E731
-            self.names, self.rows, self.letters = kept, mean(form), mean(letters)
-            if r < rounds - 1:  # other blocks join the nearest profile; short ones say too little
-                names = np.where(plain, names, np.where(size >= 60, np.array(kept, object)[self.all(form, letters).argmin(1)], ""))
-        self.kinds = np.array([KINDS.index(k.split(" ")[0]) for k in self.names])
+    def __init__(self, names: list[str], rows: np.ndarray, letters: np.ndarray):
+        self.names, self.rows, self.letters = names, rows, letters
+        self.kinds = np.array([KINDS.index(k.split(" ")[0]) for k in self.names], np.int64)
+
+    def joined(self, form: np.ndarray, letters: np.ndarray, size: np.ndarray, seeds: np.ndarray, least: int = 60) -> np.ndarray:
+        """The profile that each block counts for: its own first name, else the nearest one's; short ones say too little."""
+        names = seeds.copy()
+        open_ = np.flatnonzero((seeds == "") & (size >= least))
+        if len(open_) and self.names:
+            names[open_] = np.array(self.names, object)[self.all(form[open_], letters[open_]).argmin(1)]
+        return names
 
     def all(self, form: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Divergence of each block from each profile."""
@@ -359,9 +357,8 @@ class Profiles:
             own[:, free] = own[:, spoken].min(1, keepdims=True)
         return divergence(form, self.rows) + own
 
-    def far(self, parts: dict[str, np.ndarray]) -> np.ndarray:
+    def far(self, form: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Least divergence of each block from the profiles of each kind; infinite where a kind has none."""
-        form, letters = _distributions(parts)
         out = np.full((len(form), len(KINDS)), np.inf, np.float32)
         if self.names:
             d = self.all(form, letters)
@@ -375,6 +372,7 @@ class Profiles:
 WORD = r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*"
 NO_LETTER = r"[^\p{L}\p{M}]+"
 BLANK = r"[\s\p{Z}\p{Cc}]+"
+NOT_BLANK = r"[^\s\p{Z}\p{Cc}]"
 NO_SYMBOL = r"[\p{L}\p{M}\p{N}\s\p{Z}\p{Cc}.,;:!?'\"()\[\]«»“”„‘’…。、，！？；：「」『』（）।۔؟،؛–—-]+"
 LINE_END = r"[.!?…。！？।؟۔:;,][\"”»“’)\]」』]*\s*$"
 
@@ -407,10 +405,12 @@ def statistics(text: Column, listed: list[tuple[str, str]]) -> dict[str, Column]
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key and the columns of `statistics`) of each text, by built-in expressions; null, empty and blank texts and null keys have no rows."""
-    rows = docs.filter(F.col(key).isNotNull() & (F.length(F.regexp_replace(text, BLANK, "")) > 0))
+    rows = docs.filter(F.col(key).isNotNull() & F.col(text).rlike(NOT_BLANK))
     return rows.select(key, *(c.alias(a) for a, c in statistics(F.col(text), _words_of(common_words)).items()))
 
 
+#: Places of the distributions of a block's form; those of its letters follow.
+_FORM = len(CHARS) - _LETTERS + 1 + len(WORDS) + len(TOKENS) + len(LINES) + len(STOPS) + len(AGAIN)
 _FAR = [f"{k}_divergence" for k in KINDS]
 
 
@@ -424,53 +424,90 @@ def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, lis
             at, size = i + 1, 0
 
 
-def _fitted(docs: DataFrame, listed: Listed, key: str, text: str, sample_docs: int) -> Profiles:
-    """Profiles of a sample of about `sample_docs` documents, chosen by a hash of their keys."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    picked = docs.filter(F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    widths = {"chars": len(CHARS), "words": len(listed.langs) + 1, "tokens": len(TOKENS), "lines": len(LINES), "stops": len(STOPS), "again": len(AGAIN)}
+def _vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, size, first name and distributions of the blocks of a batch of `_cut`."""
+    n = b.column("size").value_lengths().to_numpy()
+    x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32)
+    names = np.array(b.column("seed").flatten().to_pylist(), object)
+    return np.repeat(np.arange(b.num_rows), n), b.column("size").flatten().to_numpy(), names, x.reshape(int(n.sum()), -1)
+
+
+def _cut(docs: DataFrame, listed: Listed, key: str, text: str, extra: dict[str, Column]) -> DataFrame:
+    """Each document's key (k_) and extra columns, with size, first name and distributions of its blocks, written once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, some in _pieces([t for t in b.column(0).to_pylist() if t and t.strip()]):
-                _, size, parts = blocks(some, listed)
-                x = np.hstack([parts[g] for g in widths]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(size), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))], ["size", "x"])
+            for at, some in _pieces(b.column(1).to_pylist()):
+                owner, size, parts = blocks(some, listed)
+                form, letters = _distributions(parts)
+                x = np.ascontiguousarray(np.hstack([form, letters]), np.float32)
+                ends = np.searchsorted(owner, np.arange(len(some) + 1)).astype(np.int32)
+                own = b.slice(at, len(some))
+                lists = lambda v, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(v, t))  # noqa: B023, E731
+                bytes_ = pa.array([x[i:e].tobytes() for i, e in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), *own.columns[2:], lists(size, pa.int64()), lists(_seeds(parts, size, listed), pa.string()), bytes_], [b.schema.names[0], *b.schema.names[2:], "size", "seed", "x"])
+
+    out = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_"), *(c.alias(a) for a, c in extra.items()))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "t_"]
+    return written(out.mapInArrow(run, ", ".join([*kinds, "size array<long>", "seed array<string>", "x binary"])))
 
-    got = picked.select(text).mapInArrow(run, "size long, x array<float>").limit(5 * sample_docs).toArrow()
-    size = got.column("size").to_numpy()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(size), -1) if len(size) else np.zeros((0, sum(widths.values())))
-    ends = np.cumsum(list(widths.values()))
-    return Profiles({g: x[:, e - w : e] for (g, w), e in zip(widths.items(), ends)}, size, listed)
 
+def _means(cut: DataFrame, wide: int, before: Profiles | None, least: int = 2) -> Profiles:
+    """Profiles of all blocks: means by the blocks' first names or, given profiles, by those that they join."""
 
-def _judged(docs: DataFrame, common_words: DataFrame, key: str, text: str, sample_docs: int, extra: dict[str, Column] | None = None) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            _, size, names, x = _vectors(b)
+            if before is not None:
+                names = before.joined(x[:, :wide], x[:, wide:], size, names)
+            order = np.argsort(names.astype(str), kind="stable")
+            order = order[names[order] != ""]
+            if not len(order):
+                continue
+            w = np.minimum(size[order], 2000).astype(np.float64)[:, None]
+            kinds, first = np.unique(names[order].astype(str), return_index=True)
+            sums = np.add.reduceat(np.hstack([np.ones_like(w), w, x[order] * w]), first, 0)
+            for k, s in zip(kinds.tolist(), sums):
+                total[k] = total[k] + s if k in total else s
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([s.tolist() for s in total.values()], pa.list_(pa.float64()))], ["name", "s"])
+
+    columns = 2 + wide + _LETTERS
+    got = cut.select("size", "seed", "x").mapInArrow(run, "name string, s array<double>").groupBy("name").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(columns))).alias("s")).collect()  # a row a profile
+    kept = sorted((r.name, r.s) for r in got if r.s[0] >= least)
+    mean = np.array([s for _, s in kept]).reshape(len(kept), columns)
+    mean = (mean[:, 2:] / np.maximum(mean[:, 1:2], 1)).astype(np.float32)
+    return Profiles([k for k, _ in kept], mean[:, :wide], mean[:, wide:])
+
+
+def _judged(docs: DataFrame, common_words: DataFrame, key: str, text: str, sample_docs: int | None, extra: dict[str, Column] | None = None) -> DataFrame:
     words = _words_of(common_words)
-    listed = Listed(words)
-    rows = docs.filter(F.col(key).isNotNull() & (F.length(F.regexp_replace(text, BLANK, "")) > 0))
-    profiles = _fitted(rows, listed, key, text, sample_docs)
     extra = statistics(F.col(text), words) if extra is None else extra
+    cut = _cut(docs.filter(F.col(key).isNotNull() & F.col(text).rlike(NOT_BLANK)), Listed(words), key, text, extra)
+    own = cut
+    if sample_docs is not None:
+        share = min(1.0, sample_docs / max(1, cut.count()))
+        own = cut.filter(F.pmod(F.xxhash64("k_", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    wide = _FORM
+    profiles = _means(own, wide, _means(own, wide, None))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             far, total, sizes = np.zeros((b.num_rows, len(KINDS))), np.zeros(b.num_rows), np.zeros((b.num_rows, len(KINDS)), np.int64)
-            for at, some in _pieces(b.column(1).to_pylist()):
-                owner, size, parts = blocks(some, listed)
-                d = profiles.far(parts)
-                owner = owner + at
-                np.add.at(sizes, (owner, d.argmin(1)), size)
-                np.add.at(far, owner, d * size[:, None])
-                np.add.at(total, owner, size)
+            owner, size, _, x = _vectors(b)
+            d = profiles.far(x[:, :wide], x[:, wide:])
+            np.add.at(sizes, (owner, d.argmin(1)), size)
+            np.add.at(far, owner, d * size[:, None])
+            np.add.at(total, owner, size)
             kind = np.where(2 * sizes.max(1) > total, sizes.argmax(1), 0)
             far /= np.maximum(total, 1)[:, None]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *(pa.array(np.where(np.isfinite(x), x, np.nan), mask=~np.isfinite(x)) for x in far.T), pa.array(np.array(KINDS, object)[kind], pa.string())], [b.schema.names[0], *b.schema.names[2:], *_FAR, "kind"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(pa.array(np.where(np.isfinite(x), x, np.nan), mask=~np.isfinite(x)) for x in far.T), pa.array(np.array(KINDS, object)[kind], pa.string())], [*b.schema.names[:-3], *_FAR, "kind"])
 
-    out = rows.select(F.col(key).alias("k_"), F.col(text).alias("t_"), *(c.alias(a) for a, c in extra.items()))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "t_"]
-    return out.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in _FAR), "kind string"])).withColumnRenamed("k_", key)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-3]]
+    return cut.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in _FAR), "kind string"])).withColumnRenamed("k_", key)
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 8_000) -> DataFrame:
+def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int | None = None) -> DataFrame:
     """Statistics of each document's text, its divergences from the kinds of text, and its kind: prose, list, table or junk.
 
     Columns: key, those of `statistics`, prose_divergence, list_divergence, table_divergence, junk_divergence (least
@@ -479,8 +516,8 @@ def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id",
 
     Each block of lines has distributions over classes of characters, letters, function words, shapes of tokens, layout of
     lines, distances between stops, and words that come again. Profiles of each language's prose and of forms of lists,
-    tables and junk are mean distributions, fitted on about `sample_docs` (8,000) documents: blocks whose counts are
-    plain start them, the others join the nearest. Every block of every document then takes the kind of the profile from
+    tables and junk are mean distributions over all documents (over about `sample_docs` if given): blocks whose counts
+    are plain start them, the others join the nearest. The blocks are cut once and written. Every block of every document then takes the kind of the profile from
     which it diverges least. A document's kind is what makes up more than half of its characters, else prose.
 
     Null, empty and blank texts and null keys have no rows; repeated rows stay. Null words or languages in common_words
@@ -489,6 +526,6 @@ def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id",
     return _judged(docs, common_words, key, text, sample_docs)
 
 
-def not_prose(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 8_000) -> DataFrame:
+def not_prose(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int | None = None) -> DataFrame:
     """(key, kind) of the documents that are no prose; each key once. As text_quality otherwise."""
     return _judged(docs, common_words, key, text, sample_docs, {}).filter("kind <> 'prose'").select(key, "kind").dropDuplicates([key])
