@@ -279,12 +279,13 @@ class _Tokens:
                     self.bare[i] = key(t)
 
 
-def _evidence(tokens: list[list[str]], docs: list[int | None], asked: list[set[str]]):
-    """(token, doc or none, counts) of the tokens of a batch's chunks.
+def _evidence(tokens: list[list[str]], docs: list[int | None]):
+    """(token, doc or none, counts) of the tokens of a batch's chunks, then (tokens, doc, n) of tokens without a full stop.
 
     Counts are, after a full stop: a small letter or comma, a digit, a capital; without one; in capitals at a sure start;
-    in capitals inside a sentence. The corpus has all; documents those of small letters, of capitals inside, and, for
-    tokens that the chunk asks for or that are listed, without a full stop.
+    in capitals inside a sentence. The corpus has all; documents those of small letters and of capitals inside. How often
+    a document has each token without a full stop, wherever its chunks stand, is said in binary places: its tokens are
+    listed by n = 1, 2, 4 and so on, and a token's count is the sum of the n under which it is listed.
     """
     flat = [t for ts in tokens for t in ts]
     if not flat:
@@ -316,39 +317,42 @@ def _evidence(tokens: list[list[str]], docs: list[int | None], asked: list[set[s
     named = sorted({d for d in docs if d is not None})
     at = {d: i for i, d in enumerate(named)}
     doc = np.array([at[d] if d is not None else -1 for d in docs], np.int64)[chunk]
-    wanted = np.array(sorted({c * len(keys) + t.keys[k] for c, ks in enumerate(asked) for k in ks if k in t.keys}), np.int64)
-    listed = np.array([k.lower() in KNOWN for k in keys], bool)
-    open_ = (alone >= 0) & (np.isin(chunk * len(keys) + alone, wanted) | listed[alone])
-    local = [(0, core, slots[0][2], doc[:-1]), (0, comma, comma >= 0, doc), (1, t.name[b], slots[4][2], doc[:-1]), (2, alone, open_, doc)]
-    code = np.concatenate([(d[m] * len(keys) + k[m]) * 3 + slot for slot, k, m, d in local])
+    local = [(0, core, slots[0][2], doc[:-1]), (0, comma, comma >= 0, doc), (1, t.name[b], slots[4][2], doc[:-1])]
+    code = np.concatenate([(d[m] * len(keys) + k[m]) * 2 + slot for slot, k, m, d in local])
     code, many = np.unique(code[code >= 0], return_counts=True)
     for x, n in zip(code.tolist(), many.tolist()):
-        yield keys[x // 3 % len(keys)], named[x // 3 // len(keys)], [n if i == x % 3 else 0 for i in range(3)]
+        yield keys[x // 2 % len(keys)], named[x // 2 // len(keys)], [n if i == x % 2 else 0 for i in range(2)]
+    code, many = np.unique((doc * len(keys) + alone)[(doc >= 0) & (alone >= 0)], return_counts=True)
+    for p in range(int(many.max(initial=0)).bit_length()):
+        some = code[many >> p & 1 == 1]
+        cuts = np.flatnonzero(np.diff(some // len(keys), prepend=-1))
+        for x in np.split(some, cuts[1:]) if len(some) else ():
+            yield keys[x % len(keys)].tolist(), named[int(x[0]) // len(keys)], [1 << p]
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    names = ["what", "id", "doc", "first", "last", "ends", "starts", "open", "token", "n"]
+    names = ["what", "id", "doc", "first", "last", "ends", "starts", "open", "token", "n", "bare"]
     split = Splitter().split
     for b in batches:
         rows: list[tuple] = []
-        tokens, docs, asked = [], [], []
+        tokens, docs = [], []
         for doc, cid, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             if cid is None or not text or (got := split(text)) is None:
                 continue
             first, last, sure, maybe = got
             maybe = [(e, s, _key(t), k, w) for e, s, t, k, w in maybe]
-            rows.append((0, cid, doc, first, last, [e for e, _ in sure], [s for _, s in sure], [{"e": e, "s": s, "token": t, "kind": k, "next": w} for e, s, t, k, w in maybe], None, None))
+            rows.append((0, cid, doc, first, last, [e for e, _ in sure], [s for _, s in sure], [{"e": e, "s": s, "token": t, "kind": k, "next": w} for e, s, t, k, w in maybe], None, None, None))
             tokens.append(text.split())
             docs.append(doc)
-            asked.append({t for _, _, t, _, _ in maybe})
-        for token, doc, n in _evidence(tokens, docs, asked):
-            rows.append((1 if doc is None else 2, None, doc, None, None, None, None, None, token, n))
+        for token, doc, n in _evidence(tokens, docs):
+            bare = isinstance(token, list)
+            rows.append((3 if bare else 1 if doc is None else 2, None, doc, None, None, None, None, None, None if bare else token, n, token if bare else None))
         cols = list(zip(*rows)) if rows else [[] for _ in names]
-        kinds = [pa.int8(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("e", pa.int32()), ("s", pa.int32()), ("token", pa.string()), ("kind", pa.string()), ("next", pa.string())])), pa.string(), pa.list_(pa.int64())]
+        kinds = [pa.int8(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("e", pa.int32()), ("s", pa.int32()), ("token", pa.string()), ("kind", pa.string()), ("next", pa.string())])), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
 
 
-_SCHEMA = "what byte, id string, doc long, first int, last int, ends array<int>, starts array<int>, open array<struct<e:int,s:int,token:string,kind:string,next:string>>, token string, n array<bigint>"
+_SCHEMA = "what byte, id string, doc long, first int, last int, ends array<int>, starts array<int>, open array<struct<e:int,s:int,token:string,kind:string,next:string>>, token string, n array<bigint>, bare array<string>"
 _SLOTS = ("low", "dig", "cap", "bare", "start", "mid")
 
 
@@ -370,8 +374,12 @@ def sentences(chunks: DataFrame, doc: str = "doc_id", key: str = "chunk_id", tex
     scan = written(chunks.select(F.when(F.col(doc).isNotNull(), F.xxhash64(doc)).alias("d"), F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_scan, _SCHEMA))
     rows = scan.filter("what = 0").select("id", "first", "last", "ends", "starts").dropDuplicates(["id"])
     corpus = _sums(scan.filter("what = 1"), ["token"], "c_")
-    local = scan.filter("what = 2").groupBy("doc", "token").agg(F.sum(F.col("n")[0]).alias("d_low"), F.sum(F.col("n")[1]).alias("d_mid"), F.sum(F.col("n")[2]).alias("d_bare"))
+    local = scan.filter("what = 2").groupBy("doc", "token").agg(F.sum(F.col("n")[0]).alias("d_low"), F.sum(F.col("n")[1]).alias("d_mid"))
     asked = scan.filter("what = 0").select("id", "doc", F.explode("open").alias("o")).select("id", "doc", "o.*")
+    # how often each document has its open tokens without a full stop: of one list at once, as most tokens are not asked for
+    wanted = asked.filter("doc is not null").groupBy("doc").agg(F.collect_set("token").alias("t"))
+    bare = scan.filter("what = 3").select("doc", "bare", F.col("n")[0].alias("n")).join(wanted, "doc")
+    bare = bare.select("doc", F.explode(F.array_intersect("bare", "t")).alias("token"), "n").groupBy("doc", "token").agg(F.sum("n").alias("d_bare"))
     asked = asked.withColumn("case", F.xxhash64("doc", "token", "next", "kind"))
     types = asked.groupBy("token", "next").agg(F.count(F.lit(1)).alias("m"))
     # corpus evidence on the token and on the word after it
@@ -402,7 +410,7 @@ def sentences(chunks: DataFrame, doc: str = "doc_id", key: str = "chunk_id", tex
     cases = asked.select("case", "doc", "token", "next", "kind").dropDuplicates(["case"])
     d_next = local.select("doc", F.col("token").alias("next"), "d_mid")
     judged = (
-        cases.join(tokens, "token").join(words, "next").join(local.select("doc", "token", "d_low", "d_bare"), ["doc", "token"], "left").join(d_next, ["doc", "next"], "left")
+        cases.join(tokens, "token").join(words, "next").join(local.select("doc", "token", "d_low"), ["doc", "token"], "left").join(bare, ["doc", "token"], "left").join(d_next, ["doc", "next"], "left")
         .filter(ends)
         .select("case")
     )
