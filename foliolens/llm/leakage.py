@@ -13,21 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\W_]+")
 _PACKED = re.compile("([฀-๿぀-ヿ㐀-鿿])")
 _ACCENT = np.array([bool(unicodedata.combining(chr(o))) for o in range(0x20000)] + [False] * 0xF0000)
+_IN_WORD = np.array([chr(o).isalnum() for o in range(0x110000)])
+_LOWER = bytes(ord(chr(o).lower()) if o < 128 and chr(o).isalnum() else 32 for o in range(256))
 OTHER = 1  # any word that no passage has, and the border between documents
 
 
 def normal_words(text: str) -> list[str]:
     """Words without case, accents and punctuation; letters of scripts without spaces count as words."""
-    if not text.isascii():
-        codes = np.frombuffer(unicodedata.normalize("NFKD", text.casefold()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        text = codes[~_ACCENT[codes]].tobytes().decode("utf-32-le", "surrogatepass")
-        if _PACKED.search(text):
-            text = _PACKED.sub(r" \1 ", text)
-        return _WORD.findall(text)
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return text.encode().translate(_LOWER).decode().split()
+    codes = np.frombuffer(unicodedata.normalize("NFKD", text.casefold()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = codes[~_ACCENT[codes]]
+    text = np.where(_IN_WORD[codes], codes, np.uint32(32)).tobytes().decode("utf-32-le")
+    if _PACKED.search(text):
+        text = _PACKED.sub(r" \1 ", text)
+    return text.split()
 
 
 class FMIndex:

@@ -116,3 +116,19 @@ def test_short_passages(rows):
     items = rows([(1, "red pump", 1), (2, "one two three four five six seven", 1), (3, "a b c d e f g h i j k l m n o p", 1)], ITEM)
     docs = rows([(1, "the red door", 1), (2, "one two three four", 1), (3, "two three four", 1), (4, "x one two zero three four five", 1), (5, "c d e f X h i j k", 1), (6, "c d e X g X i j k", 1)], DOC)
     assert {tuple(r) for r in leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 5)}
+
+
+def test_words_of_any_characters():
+    """The table of letters and digits finds the words of the regular expression it replaced, for any code point."""
+    import re
+    import unicodedata
+
+    from foliolens.llm import leakage
+
+    assert len(leakage._IN_WORD) == 0x110000
+    for i in range(0, 0x110000, 0x400):
+        text = "a_B" + "x".join(chr(o) for o in range(i, i + 0x400)) + "Z9"
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+        want = re.findall(r"[^\W_]+", re.sub("([฀-๿぀-ヿ㐀-鿿])", r" \1 ", plain))
+        assert leakage.normal_words(text) == want
+    assert leakage.normal_words("The_Pump's 2nd-test.\n\x1fok") == ["the", "pump", "s", "2nd", "test", "ok"]
