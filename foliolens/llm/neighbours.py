@@ -132,6 +132,24 @@ def _rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def _closest(x: np.ndarray, centres: np.ndarray, group: np.ndarray, probes: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The `probes` groups of cells with the nearest centres of each vector, nearest first, and these centres' scores."""
+    several = np.bincount(group) > 1
+    near, best = np.empty((len(x), probes), np.int64), np.empty((len(x), probes), np.float32)
+    for a in range(0, len(x), rows):
+        score = x[a : a + rows] @ centres.T
+        at = np.arange(len(score))
+        for j in range(probes):
+            c = score.argmax(1)
+            g = group[c]
+            near[a : a + rows, j], best[a : a + rows, j] = g, score[at, c]
+            if j < probes - 1:
+                score[at, c] = -9
+                for k in np.unique(g[several[g]]):
+                    score[np.ix_(g == k, group == k)] = -9
+    return near, best
+
+
 def _sizes(index: Index, dim: int):
     """Size and sum of the vectors of each cell."""
 
@@ -141,9 +159,11 @@ def _sizes(index: Index, dim: int):
             if b.num_rows:
                 _, first = np.unique(b.column("h").to_numpy(), return_index=True)
                 x = _unit(_matrix(b.column("v"), dim)[first])
-                near = (x.astype(np.float32) @ index.centres.T).argmax(1)
-                np.add.at(size, near, 1)
-                np.add.at(total, near, x)
+                near = _closest(x.astype(np.float32), index.centres, np.arange(len(size)), 1)[0][:, 0]
+                order = np.argsort(near, kind="stable")
+                cell, start = np.unique(near[order], return_index=True)
+                size += np.bincount(near, minlength=len(size))
+                total[cell] += np.add.reduceat(x[order], start, axis=0)
         cell = np.flatnonzero(size)
         ends = (np.arange(len(cell) + 1) * dim).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(size[cell]), pa.ListArray.from_arrays(pa.array(ends), pa.array(total[cell].astype(np.float32).reshape(-1)))], ["cell", "n", "v"])
@@ -173,8 +193,7 @@ _ASSIGNED = "cell int, block int, base boolean, h long, key string, code binary,
 
 def _assign(index: Index, dim: int, probes: int, ratio: float, group: np.ndarray, blocks: np.ndarray):
     """Each vector once to the block of its group of cells, and as a query to all other blocks of its nearest groups."""
-    order = np.argsort(group, kind="stable")
-    centres, starts = index.centres[order], np.flatnonzero(np.diff(group[order], prepend=-1))
+    p = min(probes, len(blocks))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,11 +204,7 @@ def _assign(index: Index, dim: int, probes: int, ratio: float, group: np.ndarray
             b = b.take(pa.array(first))
             v = _matrix(b.column("v"), dim)
             x = _unit(v).astype(np.float32)
-            score = np.maximum.reduceat(x @ centres.T, starts, axis=1)
-            p = min(probes, score.shape[1])
-            near = np.argpartition(-score, p - 1, 1)[:, :p]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), 1, kind="stable"), 1)
-            score = np.take_along_axis(score, near, 1)
+            near, score = _closest(x, index.centres, group, p)
             close = score >= ratio * score[:, :1]
             code = _binary(_pack(index.encode(x)))
             vec = _binary(v)
@@ -225,16 +240,15 @@ class Block:
 
     A block of more than twice `cell_rows` rows is cut into cells of half as many by centres fitted on rows spread over it. How many of
     them a query looks into is measured: as many as hold `share` of the true neighbours of some of its rows, all of them
-    if these lie anywhere. So the work of a query grows far less than the block, unless its rows are one crowd.
+    if these lie anywhere. So the work of a query grows far less than the block, unless its rows are one crowd. Table scores
+    of many queries are one product with the decoded codes, the same sums as by look-ups (Index.scan) in less time.
     """
 
     def __init__(self, index: Index, vectors: np.ndarray, codes: np.ndarray, h: np.ndarray, top: int, rerank: int, cell_rows: int, share: float = 0.99, tried: int = 64):
-        self.index, self.h, self.codes, self.top, self.rerank = index, h, codes, top, rerank
-        self.vectors = vectors
-        rest = vectors - index.decode(codes)
-        along = (rest * vectors).sum(1)  # what coding changed along the vector, and how much across it
-        self.across = np.sqrt(np.maximum((rest**2).sum(1) - along**2, 0)).astype(np.float32)
-        self.along = (1 - along).astype(np.float32)
+        self.h, self.top, self.rerank = h, top, rerank
+        coded = index.decode(codes)
+        along = (coded * vectors).sum(1)  # what coding left of the vector's length along it, and how much it added across
+        across = np.sqrt(np.maximum((coded**2).sum(1) - along**2, 0))
         n = len(h)
         self.cells, self.probes = [np.arange(n)], 1
         self.centres = np.zeros((1, vectors.shape[1]), np.float32)
@@ -260,47 +274,73 @@ class Block:
                 order = np.argsort(near, kind="stable")
                 cuts = np.searchsorted(near[order], np.arange(k + 1))
                 self.cells, self.centres, self.probes = [order[a:e] for a, e in zip(cuts, cuts[1:])], c, probes
+        self.rows, self.cuts = np.concatenate(self.cells), np.cumsum([0, *map(len, self.cells)])
+        self.vectors = vectors[self.rows]  # cell by cell, as are the codes with their errors
+        known = np.column_stack([coded, np.where(along > 0, along, -100).astype(np.float32), across.astype(np.float32)])  # a code that points away is never ruled out
+        self.known = known[self.rows]
         self.scanned = 0  # codes that were looked at so far
 
+    def _asked(self, near: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """The rows of each cell, and the queries that look into it."""
+        order = np.argsort(near, axis=None, kind="stable")
+        ends = np.searchsorted(near.reshape(-1)[order], np.arange(len(self.cells) + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            if len(self.cells[c]):
+                yield slice(self.cuts[c], self.cuts[c + 1]), order[ends[c] : ends[c + 1]] // near.shape[1]
+
+    def _floor(self, x: np.ndarray, own: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+        """A similarity that the m best of each query reach: that of the m-th of the best `rerank` codes of its nearest cell."""
+        last = np.full(len(x), -1.0, np.float32)
+        for at, q in self._asked(first):
+            score = x[q] @ self.known[at, :-2].T
+            self.scanned += score.size
+            keep = min(self.rerank, score.shape[1])
+            if keep < m:
+                continue
+            near = np.argpartition(score, score.shape[1] - keep, 1)[:, score.shape[1] - keep :] + at.start
+            sim = np.matmul(self.vectors[near].astype(np.float32), x[q][:, :, None])[:, :, 0]
+            sim[self.h[self.rows[near]] == own[q][:, None]] = -1
+            last[q] = np.partition(sim, keep - m, 1)[:, keep - m]
+        return np.clip(last - 5e-6, -1, 1)
+
     def search(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The most similar rows of each query but its own: similarities in millionths, and numbers; _NONE fills up."""
+        """The most similar rows of each query but its own: similarities in millionths, and numbers; _NONE fills up.
+
+        A row's exact similarity s and its table score differ by the known error of its code: the score is at least
+        s * along - sqrt(1 - s^2) * across. So one product of the queries with codes and errors tells which rows can be
+        as good as the floor; these are compared exactly.
+        """
         m = min(self.top, len(self.h))
-        best = np.full((len(x), m), _NONE, np.int64), np.full((len(x), m), len(self.h), np.int64)
         x32 = x.astype(np.float32)
-        if len(self.cells) == 1:
-            asked = [(0, np.arange(len(x)))]
-        else:
-            near = np.argpartition(-(x32 @ self.centres.T), self.probes - 1, 1)[:, : self.probes]
-            order = np.argsort(near, axis=None, kind="stable")
-            cuts = np.searchsorted(near.reshape(-1)[order], np.arange(len(self.cells) + 1))
-            asked = [(c, order[a:e] // self.probes) for c, (a, e) in enumerate(zip(cuts, cuts[1:])) if e > a]
-
-        def merge(q: np.ndarray, sim: np.ndarray, rows: np.ndarray) -> None:
-            sim[self.h[rows] == own[q][:, None]] = _NONE
-            s, k = _best(np.hstack([best[0][q], sim]), np.hstack([best[1][q], rows]), m)
-            best[0][q], best[1][q] = s, k
-
-        open_ = []
-        for c, q in asked:
-            rows = self.cells[c]
-            if not len(rows):
-                continue
-            score = self.index.scan(x32[q], self.codes[rows])
-            self.scanned += score.size
-            keep = min(self.rerank, len(rows))
-            near = np.argpartition(score, len(rows) - keep, 1)[:, len(rows) - keep :] if keep < len(rows) else np.broadcast_to(np.arange(len(rows)), score.shape)
-            merge(q, np.rint(np.einsum("qd,qrd->qr", x[q], self.vectors[rows[near]]) * 1e6).astype(np.int64), rows[near])
-            if keep < len(rows):
-                np.put_along_axis(score, near, -9.0, 1)
-                open_.append((rows, q, score))
-        for rows, q, score in open_:  # rows whose table score leaves room for an exact one as good as the last found
-            last = np.clip(best[0][q].min(1) / 1e6 - 2e-6, -1, 1).astype(np.float32)[:, None]
-            could = (score >= last * self.along[rows] - np.sqrt(1 - last**2) * self.across[rows] - 1e-5) & (score > -9)
-            wide = np.flatnonzero(could.any(1))
-            if len(wide):
-                sim = np.rint(x[q[wide]] @ self.vectors[rows].T * 1e6).astype(np.int64)
-                sim[score[wide] == -9] = _NONE  # these are in already
-                merge(q[wide], sim, np.broadcast_to(rows, sim.shape).copy())
+        near = np.zeros((len(x), 1), np.int64)
+        if len(self.cells) > 1:
+            near = np.argpartition(score := -(x32 @ self.centres.T), self.probes - 1, 1)[:, : self.probes]
+        last = self._floor(x32, own, near if len(self.cells) == 1 else score.argmin(1)[:, None], m)[:, None]
+        asked = np.hstack([x32, -last, np.sqrt(1 - last**2)])
+        found = [(np.zeros(0, np.int64),) * 3]
+        for at, q in self._asked(near):
+            room = asked[q] @ self.known[at].T
+            self.scanned += room.size
+            could = room >= -1e-5
+            could[last[q, 0] <= 0] = True  # the bound holds for similarities above zero
+            if (count := np.count_nonzero(could)) > 0.05 * could.size:
+                sim = np.rint(x[q] @ self.vectors[at].T * 1e6).astype(np.int64)
+                sim[~could | (self.h[self.rows[at]] == own[q][:, None])] = _NONE
+                s, k = _best(sim, np.broadcast_to(self.rows[at], sim.shape), min(m, sim.shape[1]))
+                found.append((np.repeat(q, s.shape[1]), s.reshape(-1), k.reshape(-1)))
+            elif count:
+                i, j = np.divmod(np.flatnonzero(could), could.shape[1])
+                sim = np.einsum("nd,nd->n", x[q[i]], self.vectors[j + at.start])
+                found.append((q[i], np.rint(sim * 1e6).astype(np.int64), self.rows[j + at.start]))
+        q, s, k = map(np.concatenate, zip(*found))
+        good = (s > _NONE) & (self.h[k] != own[q])
+        q, s, k = q[good], s[good], k[good]
+        order = np.lexsort((k, -s, q))
+        q, s, k = q[order], s[order], k[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = np.full((len(x), m), _NONE, np.int64), np.full((len(x), m), len(self.h), np.int64)
+        for b, of in zip(best, (s, k)):
+            b[q[place < m], place[place < m]] = of[place < m]
         return best
 
 
@@ -325,7 +365,7 @@ def _search(index: Index, dim: int, top: int, rerank: int, cell_rows: int, batch
             return
         h, vecs = t.column("h").to_numpy(), _rows(t.column("vec"), np.float32, dim)
         _, queries = np.unique(h, return_index=True)
-        step = max(32, 2_000_000 // max(1, block.probes * max(map(len, block.cells))))
+        step = max(32, min(2048, 2_000_000 // max(map(len, block.cells)), 8_000_000 * len(block.cells) // (block.probes * len(block.h))))
         for i in range(0, len(queries), step):
             q = queries[i : i + step]
             s, k = block.search(_unit(vecs[q]), h[q])
