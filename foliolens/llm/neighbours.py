@@ -276,6 +276,7 @@ class Block:
                 self.cells, self.centres, self.probes = [order[a:e] for a, e in zip(cuts, cuts[1:])], c, probes
         self.rows, self.cuts = np.concatenate(self.cells), np.cumsum([0, *map(len, self.cells)])
         self.vectors = vectors[self.rows]  # cell by cell, as are the codes with their errors
+        self.single = self.vectors.astype(np.float32)
         known = np.column_stack([coded, np.where(along > 0, along, -100).astype(np.float32), across.astype(np.float32)])  # a code that points away is never ruled out
         self.known = known[self.rows]
         self.scanned = 0  # codes that were looked at so far
@@ -298,7 +299,7 @@ class Block:
             if keep < m:
                 continue
             near = np.argpartition(score, score.shape[1] - keep, 1)[:, score.shape[1] - keep :] + at.start
-            sim = np.matmul(self.vectors[near].astype(np.float32), x[q][:, :, None])[:, :, 0]
+            sim = np.matmul(self.single[near], x[q][:, :, None])[:, :, 0]
             sim[self.h[self.rows[near]] == own[q][:, None]] = -1
             last[q] = np.partition(sim, keep - m, 1)[:, keep - m]
         return np.clip(last - 5e-6, -1, 1)
@@ -323,6 +324,8 @@ class Block:
             self.scanned += room.size
             could = room >= -1e-5
             could[last[q, 0] <= 0] = True  # the bound holds for similarities above zero
+            if np.count_nonzero(could) > 0.05 * could.size:  # codes tell too little: vectors in single precision do
+                could &= x32[q] @ self.single[at].T >= last[q]
             if (count := np.count_nonzero(could)) > 0.05 * could.size:
                 sim = np.rint(x[q] @ self.vectors[at].T * 1e6).astype(np.int64)
                 sim[~could | (self.h[self.rows[at]] == own[q][:, None])] = _NONE
