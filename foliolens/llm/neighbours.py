@@ -442,8 +442,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", **options) -> DataFrame:
 
     The index is fitted on a sample of at most `sample_rows` (40,000) vectors, chosen by a hash of their keys; every vector is
     indexed and every vector is a query. A query looks into its nearest cell and into up to `probes` that are at least
-    `ratio` as similar, scans their four-bit codes by table look-ups, and scores the best `rerank` exactly in double
-    precision, then all of the cell where the known error of some other row's code, along and across its vector, leaves
+    `ratio` as similar. The `rerank` best of its nearest cell by table scores of their four-bit codes give a floor; all rows
+    are scored exactly in double precision where the known error of their code, along and across the vector, leaves
     room for a score as good. There are n / `cell_rows` cells, `max_cells` at most; beyond, each cell is cut again where
     it is searched (see Block), so that a query's work hardly grows. Cells beyond `block_rows` are cut into blocks that
     are searched apart. Cells that split one crowd are joined first: with its members' distances from the centres at most
