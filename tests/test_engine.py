@@ -166,3 +166,22 @@ def test_questions_go_to_chunks_in_full_depth(spark, monkeypatch):
     core.ask_questions(spark, base)
     assert (seen["k"], seen["keep"]) == (100, 50)
     assert seen["ids"].distinct().count() == seen["ids"].count() == spark.read.parquet(f"{base}/chunks.parquet").select("chunk_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["answer_sources"])
+def test_every_question_is_asked(spark, name):
+    import duckdb
+
+    from foliolens.plans import core
+
+    base, sql = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("questions", "chunks", "doc_catalog"):
+        sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    got = core.QUERIES[name](spark, base)
+    want = sql.execute(core.SQL[name])
+    columns = [c[0] for c in want.description]
+    rows = sorted(map(repr, want.fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == rows
+    asked = {r[0] for r in sql.execute("SELECT query_id FROM questions WHERE length(trim(text)) > 0").fetchall()}
+    seen = {r[0] for r in got.select(got.columns[0]).distinct().collect()}
+    assert any(q % 20 for q in seen) and seen <= asked and (name == "answer_sources" or seen == asked)

@@ -165,3 +165,25 @@ def test_candidates_are_searched_once(spark, monkeypatch):
     catalog = spark.createDataFrame([(1, "T")], "id long, title string")
     assert engine.ask(asked, chunks, catalog, k=5, keep=3, make=make).collect()[0].status == "COMPLETED"
     assert calls.value <= 2
+
+
+def test_grouped_search_equals_search_of_few(spark, monkeypatch):
+    g, r = np.random.default_rng(5), random.Random(5)
+    vocabulary = "alpha beta gamma delta epsilon zeta eta theta".split()
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(r.randrange(n)))
+    rows = [(f"k{r.randrange(10**6):06d}", text(90), g.integers(-2, 3, 8).astype(float).tolist()) for _ in range(700)]
+    rows[3:6] = [("empty", None, None), (None, "alpha beta", [0.0] * 8), ("same", *rows[9][1:])]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>").dropDuplicates(["chunk_id"]).repartition(5)
+    asked = spark.createDataFrame([(i, text(6) if i else None, g.integers(-2, 3, 8).astype(float).tolist() if i != 7 else None) for i in range(60)], "query_id long, text string, embedding array<float>")
+    monkeypatch.setattr(retrieve, "GROUP", 16)
+    monkeypatch.setattr(retrieve, "GROUP_ROWS", 100)
+    plain = lambda df: {tuple(x) for x in df.select("query_id", "chunk_id", F.round("score", 6), "rank").collect()}
+    near = retrieve.knn(asked, docs, 40, key="chunk_id", query_key="query_id")
+    for norms in ("exact", "quantized"):
+        worded = retrieve.bm25(asked, docs, 40, key="chunk_id", norms=norms)
+        for mode, want in (("knn", near), ("keyword", worded), ("hybrid", retrieve.fuse(near, worded, 20, key="chunk_id"))):
+            got = plain(retrieve.grouped(asked, docs, 20, 40, mode, key="chunk_id", norms=norms))
+            assert got == plain(want.filter("rank <= 20")) and len(got) > 500
+    assert retrieve.grouped(asked, docs.limit(0), 20, 40, key="chunk_id").count() == 0 == retrieve.grouped(asked.limit(0), docs, 20, 40, key="chunk_id").count()
+    monkeypatch.setattr(retrieve, "TASK_WORDS", 3)
+    assert retrieve.grouped(asked, docs, 20, 40, key="chunk_id") is None
