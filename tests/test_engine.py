@@ -168,7 +168,7 @@ def test_questions_go_to_chunks_in_full_depth(spark, monkeypatch):
     assert seen["ids"].distinct().count() == seen["ids"].count() == spark.read.parquet(f"{base}/chunks.parquet").select("chunk_id").distinct().count()
 
 
-@pytest.mark.parametrize("name", ["answer_sources", "ask_questions"])
+@pytest.mark.parametrize("name", ["answer_sources", "ask_questions", "job_log"])
 def test_every_question_is_asked(spark, name):
     import duckdb
 
